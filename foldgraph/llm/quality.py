@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, written
 
 #: Most labelled rows that the classifier is fitted on (the smallest hashes of their keys).
 TRAIN_ROWS = 20_000
@@ -152,39 +152,39 @@ def _strength(groups: DataFrame, n: str, s: str, q: str, centre: str | None) ->
     return total.select(mean.alias("mean"), F.coalesce(strength, F.lit(1e6)).alias("strength"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", path: Column | None = None, label: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", path: Column | None = None, label: str = "quality", rows: int = TRAIN_ROWS, prefix: str = "q_") -> DataFrame:
     """``docs`` with ``q_evidence``, ``q_host_rate``, ``q_path_rate``, ``q_score`` and ``q_keep``.
 
     ``path`` is a column expression for the first path segment below the host
     (default: the column ``lang``, as in URLs of the form host/language/...).  Null
     hosts and paths are sites of their own.  Null and empty texts have no features,
     the same evidence for all.  Without labels of both kinds the evidence is
-    constant and everything at or above even odds is kept.
+    constant and everything at or above even odds is kept.  ``prefix`` names the new
+    columns; columns of those names are replaced.
     """
+    new = lambda name: f"{prefix}{name}"
     small_batches(docs.sparkSession)
     model = train(docs, labels, text, key, label, rows)
-    names = {"__h": F.coalesce(F.col(host).cast("string"), F.lit("")), "__p": F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit("")), "q_evidence": evidence(F.col(text), model)}
+    names = {"__h": F.coalesce(F.col(host).cast("string"), F.lit("")), "__p": F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit("")), new("evidence"): evidence(F.col(text), model)}
     own = docs.withColumns(names)
-    probability = 1 / (1 + F.exp(-F.col("q_evidence")))
+    probability = 1 / (1 + F.exp(-F.col(new("evidence"))))
     sites = site_posteriors(own.select(F.col("__h").alias("host"), F.col("__p").alias("path"), probability.alias("p")))
-    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("host_rate").alias("q_host_rate"), F.col("path_rate").alias("q_path_rate"), F.col("base").alias("__b"))
-    out = _with_sites(own, sites)
+    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("host_rate").alias(new("host_rate")), F.col("path_rate").alias(new("path_rate")), F.col("base").alias("__b"))
+    out = _with_sites(own.drop(new("host_rate"), new("path_rate")), sites, new("evidence"))
     clip = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
-    odds = F.col("q_evidence") + _logit(clip(F.col("q_path_rate"))) - _logit(clip(F.col("__b")))
-    return out.withColumn("q_score", 1 / (1 + F.exp(-odds))).withColumn("q_keep", F.col("q_score") >= 0.5).drop("__h", "__p", "__b")
+    odds = F.col(new("evidence")) + _logit(clip(F.col(new("path_rate")))) - _logit(clip(F.col("__b")))
+    return out.withColumn(new("score"), 1 / (1 + F.exp(-odds))).withColumn(new("keep"), F.col(new("score")) >= 0.5).drop("__h", "__p", "__b")
 
 
-def _with_sites(own: DataFrame, sites: DataFrame) -> DataFrame:
-    from .common import written
-
+def _with_sites(own: DataFrame, sites: DataFrame, spread: str) -> DataFrame:
     sites, _ = written(sites, "sites")
     if sites.count() <= BROADCAST_SITES:
         return own.join(F.broadcast(sites), ["__h", "__p"])
     # Too many sites to broadcast: one host may hold a third of the rows, so keys are salted.
     salted = sites.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return own.withColumn("__s", F.pmod(F.xxhash64("q_evidence", *own.columns[:1]), F.lit(SALTS)).cast("int")).join(salted, ["__h", "__p", "__s"]).drop("__s")
+    return own.withColumn("__s", F.pmod(F.xxhash64(spread, *own.columns[:1]), F.lit(SALTS)).cast("int")).join(salted, ["__h", "__p", "__s"]).drop("__s")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    return judged(docs, labels, **options).where("q_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(docs, labels, prefix="__quality_", **options).where("__quality_keep").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,6 @@ import json
 import os
 import struct
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -37,6 +36,8 @@ from .common import fresh_path, small_batches
 _SKIP_INDEX, _SKIP_TABLE, _MAGIC, _CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 _ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("sum", "<u4")])
 _DOC = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
+#: Stands for a null key in the index (the smallest int64); read back as null.
+NO_KEY = -(1 << 63)
 #: A frame is closed when it holds this many bytes of ids; one longer document has a frame of its own.
 FRAME_BYTES = 1 << 18
 #: Entries of a worker's memo of encoded words, after which it starts afresh.
@@ -217,8 +218,8 @@ def write_store(docs: DataFrame, out_dir: str, tokenizer: str, pattern: str, end
     Returns the catalogue ``(file, part, n_docs, n_tokens, start)``, one row per
     file, ``start`` the number of ids in all earlier files.  Each range partition
     is one file.  A task writes under a name of its own and renames when complete,
-    so a task that is run again replaces its file whole.  Null keys are refused (a
-    document is addressed by its key); null texts are empty.  Rows that repeat a
+    so a task that is run again replaces its file whole.  Documents with a null key
+    come first and are stored under ``NO_KEY``; null texts are empty.  Rows that repeat a
     key follow each other, ties by text.  An empty table makes an empty catalogue.
     """
     spark = docs.sparkSession
@@ -239,14 +240,12 @@ def write_store(docs: DataFrame, out_dir: str, tokenizer: str, pattern: str, end
         writer = out = None
         for batch in batches:
             for k, t in zip(batch["k"].to_pylist(), batch["t"].to_pylist(), strict=True):
-                if k is None:
-                    raise ValueError("a document without a key can't be stored")
                 if writer is None:
                     system.create_dir(folder, recursive=True)
                     out = system.open_output_stream(draft)
                     writer = Writer(out)
                 ids = encoder.encode(t) + end
-                writer.add(k, ids)
+                writer.add(NO_KEY if k is None else k, ids)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4
         if writer is not None:
             writer.close()
@@ -289,7 +288,7 @@ def read_store(catalogue: DataFrame, wanted: Iterable[int] | None = None) -> Dat
                     for i in range(0, len(rows), 256):
                         part = rows[i : i + 256]
                         yield pa.RecordBatch.from_pydict({
-                            "doc_id": pa.array(r.docs["doc_id"][list(part)]), "start": pa.array(before[list(part)]),
+                            "doc_id": pa.array([None if k == NO_KEY else k for k in r.docs["doc_id"][list(part)].tolist()], pa.int64()), "start": pa.array(before[list(part)]),
                             "n_tokens": pa.array(r.docs["n"][list(part)].astype(np.int64)), "ids": pa.array([r.ids(k) for k in part], pa.binary()),
                         })
 
@@ -300,7 +299,3 @@ def store_and_read(docs: DataFrame, tokenizer: str, pattern: str, **options) ->
     """Write ``docs`` into a new folder below the shared one and read everything back."""
     folder = fresh_path(docs.sparkSession, "tokens")
     return read_store(write_store(docs, folder, tokenizer, pattern, **options))
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
