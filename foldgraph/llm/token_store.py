@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -41,7 +42,7 @@ NO_KEY = -(1 << 63)
 #: A frame is closed when it holds this many bytes of ids; one longer document has a frame of its own.
 FRAME_BYTES = 1 << 18
 #: Entries of a worker's memo of encoded words, after which it starts afresh.
-MEMO = 600_000
+MEMO = 1_000_000
 
 
 class StoreError(ValueError):
@@ -58,7 +59,7 @@ def _sum(data: bytes) -> int:
 class Writer:
     """Writes documents in the order given; ``close`` adds the index and the seek table."""
 
-    def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = 3):
+    def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = 1):
         self.out, self.most = out, frame_bytes
         self.pack = zstandard.ZstdCompressor(level=level).compress
         self.frames: list[tuple[int, int, int]] = []
@@ -147,6 +148,13 @@ class Reader:
 # ---------------------------------------------------------------- tokens
 
 
+# The split pattern of byte-level pre-tokenizers; the standard library's form of it, which
+# cuts alike where a text has no character but these (no digits of other scripts, no odd spaces).
+_BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_BYTE_LEVEL_PLAIN = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_NOT_PLAIN = re.compile(r"[^\t-\r -~\u00c0-\u02af]")
+
+
 class WordEncoder:
     """Encodes with the tokenizers library, each distinct word of the texts once.
 
@@ -161,7 +169,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split, self.memo, self.most = regex.compile(pattern).findall, {}, memo
+        any_split, plain_split = regex.compile(pattern).findall, _BYTE_LEVEL_PLAIN.findall
+        self.split = (lambda t: any_split(t) if _NOT_PLAIN.search(t) else plain_split(t)) if pattern == _BYTE_LEVEL else any_split
+        self.memo, self.most = {}, memo
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # by id: does it begin with a space?
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
@@ -183,15 +193,26 @@ class WordEncoder:
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.memo[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
+    def encode_all(self, texts: list[str | None], chars: int = 1 << 20) -> Iterator[bytes]:
+        """The ids of each text; words that are new to the memo are learned about ``chars`` of text at a time."""
+        held: list[list[str]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            held.append(self.split(text or ""))
+            size += len(text or "")
+            if size >= chars or k == len(texts) - 1:
+                if new := set().union(*held).difference(self.memo):
+                    if len(self.memo) + len(new) > self.most:
+                        self.memo.clear()
+                        new = set().union(*held)
+                    self._learn(list(new))
+                memo = self.memo
+                for words in held:
+                    yield b"".join([memo[w] for w in words])
+                held, size = [], 0
+
     def encode(self, text: str | None) -> bytes:
-        words = self.split(text or "")
-        if new := set(words).difference(self.memo):
-            if len(self.memo) + len(new) > self.most:
-                self.memo.clear()
-                new = set(words)
-            self._learn(list(new))
-        memo = self.memo
-        return b"".join([memo[w] for w in words])
+        return next(self.encode_all([text]))
 
 
 @lru_cache(maxsize=2)
@@ -239,14 +260,14 @@ def write_store(docs: DataFrame, out_dir: str, tokenizer: str, pattern: str, end
         n_docs = n_tokens = 0
         writer = out = None
         for batch in batches:
-            for k, t in zip(batch["k"].to_pylist(), batch["t"].to_pylist(), strict=True):
+            texts = batch["t"].to_pylist()
+            for k, ids in zip(batch["k"].to_pylist(), encoder.encode_all(texts), strict=True):
                 if writer is None:
                     system.create_dir(folder, recursive=True)
                     out = system.open_output_stream(draft)
                     writer = Writer(out)
-                ids = encoder.encode(t) + end
-                writer.add(NO_KEY if k is None else k, ids)
-                n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4
+                writer.add(NO_KEY if k is None else k, ids + end)
+                n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4 + 1
         if writer is not None:
             writer.close()
             out.close()
