@@ -80,7 +80,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, hot: int = HOT) -> DataFr
 def _verified(probes: DataFrame, halves: DataFrame, radius: int) -> DataFrame:
     near = F.bit_count(F.col("q").bitwiseXOR(F.col("t.fp"))) <= radius
     on = (F.col("p.s") == F.col("t.s")) & (F.col("p.half") == F.col("t.half")) & (F.col("q") < F.col("t.fp")) & near
-    return probes.alias("p").join(halves.alias("t"), on).select(F.col("q").alias("a"), F.col("t.fp").alias("b")).distinct()
+    # Sizes after an explode are underestimated: without the hints one side would be broadcast.
+    return probes.hint("merge").alias("p").join(halves.hint("merge").alias("t"), on).select(F.col("q").alias("a"), F.col("t.fp").alias("b")).distinct()
 
 
 def _ball_stars(members: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def _ball_stars(members: DataFrame) -> DataFrame:
 
     inner = ball(0, 1)
     least = inner.groupBy("y").agg(F.min("fp").alias("m"))
-    links = ball(0, 2).join(least, "y").where("fp <> m")
+    links = ball(0, 2).hint("merge").join(least.hint("merge"), "y").where("fp <> m")
     return links.select(F.least("fp", "m").alias("a"), F.greatest("fp", "m").alias("b")).distinct()
 
 
