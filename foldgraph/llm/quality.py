@@ -116,7 +116,8 @@ def evidence(text: Column, model: Classifier) -> Column:
         x = np.array(list(map(features, t.to_pylist())), np.float64).reshape(-1, len(FEATURES))
         return pa.array(model.log_odds(x), pa.float64())
 
-    return score(text)
+    # Never null: else planning would add a null test that runs the function once more.
+    return F.coalesce(score(text), F.lit(0.0))
 
 
 def _logit(p: Column) -> Column:
