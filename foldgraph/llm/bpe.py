@@ -29,6 +29,8 @@ from .common import small_batches
 LEAF = 12
 #: Entries of a worker's memo of encoded words, after which it starts afresh.
 MEMO = 600_000
+#: Entries of its memo of neighbouring tokens.
+PAIRS = 100_000
 
 _NONE = 1 << 60
 _BYTES = [bytes([i]) for i in range(256)]
@@ -71,7 +73,7 @@ class TreeBpe:
         """Is ``[a, b]`` the encoding of ``a + b``?"""
         key = (a, b)
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= self.most:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(a + b) == [a, b]
         return known
