@@ -94,11 +94,14 @@ def fit_classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", rows: int = TRAIN_ROWS) -> Classifier:
-    """Fit on at most ``rows`` labelled documents; only their features come to the driver."""
+    """Fit on at most ``rows`` labelled documents; only their features come to the driver.
+
+    Their keys, ``rows`` at most, are broadcast, so no text is shuffled.
+    """
     small_batches(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(rows)
-    x = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").select("y", _features(F.col("t")).alias("x"), F.xxhash64("k").alias("h")).orderBy("h").limit(rows).toArrow()
+    x = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("y", _features(F.col("t")).alias("x"), F.xxhash64("k").alias("h")).orderBy("h").limit(rows).toArrow()
     values = np.array(x["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return fit_classifier(values, np.array(x["y"].to_pylist(), np.float64))
 
@@ -127,6 +130,7 @@ def _logit(p: Column) -> Column:
 def site_posteriors(scored: DataFrame, host: str = "host", path: str = "path", p: str = "p") -> DataFrame:
     """``(host, path, host_rate, path_rate, base)`` from documents' own probabilities ``p``."""
     paths = scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(F.col(p) * F.col(p)).alias("q"))
+    paths, _ = written(paths, "paths")  # all that follows is on sites
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"))
     top = _strength(hosts, "hn", "hs", "hq", None).select(F.col("mean").alias("base"), F.col("strength").alias("k1"))
     rated = hosts.crossJoin(F.broadcast(top)).withColumn("host_rate", (F.col("k1") * F.col("base") + F.col("hs")) / (F.col("k1") + F.col("hn")))
