@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from .bisimulation import Refinement
 from .summary import blocks, data_edges, final_edges, history, refines
 
-#: Running totals over levels: one row per level goes through this window.
-_SO_FAR = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _so_far() -> WindowSpec:
+    """For running totals over levels; one row per level goes through it."""
+    return Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _levels(r: Refinement, last: int | None = None) -> DataFrame:
@@ -24,7 +26,7 @@ def level_statistics(r: Refinement) -> DataFrame:
     events = b.select(F.col("start_level").alias("k"), one.alias("n"), single.alias("m"), one.alias("born")).union(b.select((F.col("end_level") + 1).alias("k"), -one, -single, F.lit(0)))
     sums = events.groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("born").alias("born"))
     out = _levels(r).join(sums, "k", "left").fillna(0)
-    return out.select("k", F.sum("n").over(_SO_FAR).alias("block_count"), F.sum("m").over(_SO_FAR).alias("singleton_count"), F.sum("born").over(_SO_FAR).alias("accumulated_block_count"))
+    return out.select("k", F.sum("n").over(_so_far()).alias("block_count"), F.sum("m").over(_so_far()).alias("singleton_count"), F.sum("born").over(_so_far()).alias("accumulated_block_count"))
 
 
 def block_size_histogram(r: Refinement) -> DataFrame:
@@ -86,10 +88,10 @@ def full_counts(r: Refinement, hist: DataFrame | None = None, finals: DataFrame
     """``(k, metric, value)``: vertices, singletons, refines and data edges; condensed, uncondensed and quotient."""
     level = level_statistics(r)
     born = refines(r).groupBy(F.col("child_start").alias("k")).agg(F.count("*").alias("n"))
-    condensed = _levels(r).join(born, "k", "left").fillna(0).select("k", F.sum("n").over(_SO_FAR).alias("v"))
+    condensed = _levels(r).join(born, "k", "left").fillna(0).select("k", F.sum("n").over(_so_far()).alias("v"))
     running = level.select(
-        "k", F.sum("block_count").over(_SO_FAR).alias("vertices"), F.sum("singleton_count").over(_SO_FAR).alias("singletons"),
-        (F.sum("block_count").over(_SO_FAR) - F.first("block_count").over(_SO_FAR)).alias("refines"))
+        "k", F.sum("block_count").over(_so_far()).alias("vertices"), F.sum("singleton_count").over(_so_far()).alias("singletons"),
+        (F.sum("block_count").over(_so_far()) - F.first("block_count").over(_so_far())).alias("refines"))
     edges, q = data_edge_counts(r, e), quotient_edge_counts(r, hist, finals)
     named = [
         (level, "accumulated_block_count", "vertices_condensed"), (running, "vertices", "vertices_uncondensed"), (level, "block_count", "vertices_quotient"), (level, "singleton_count", "singletons_condensed"),
