@@ -75,7 +75,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "
     own, _ = written(docs.select(F.col(key).alias("id"), digest(F.col(text)).alias("digest")), "digests")
     index.ingest(own)
     sizes = own.groupBy("digest").agg(F.count("*").alias("group_size"))
-    groups = sizes.join(index.table().hint("merge"), "digest")
+    # Written, so that the last join has plain shuffles on both sides and a digest that very many rows share is split.
+    groups, _ = written(sizes.join(index.table().hint("merge"), "digest"), "groups")
     kept = F.col("id").eqNullSafe(F.col("keep_id"))
     return own.join(groups, "digest").select(F.col("id").alias(key), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
