@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to a Python worker.  Texts are long, so the
 #: engine default of 10,000 rows would put gigabytes in one batch.
@@ -61,3 +62,13 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def smallest_hashes(key: Column, share: Column) -> Column:
+    """Is the hash of ``key`` among the smallest ``share`` (0 to 1) of all hashes?
+
+    Put before a sorted limit on hashes: with several times the wanted share it
+    changes nothing of the result, but what the tasks send no longer grows with
+    their number.
+    """
+    return F.xxhash64(key) / F.lit(2.0**64) + 0.5 <= share

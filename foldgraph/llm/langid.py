@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, smallest_hashes
 from .crf import Crf
 
 #: Most training documents of each language (the smallest hashes of their keys).
@@ -28,6 +28,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     such row: a model without labels, which says ``und``.
     """
     usable = docs.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    # One row per language, and a language is a label of the model: a small table.
+    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__rows"))
+    few = smallest_hashes(F.col(key), F.lit(20.0 * per_lang) / F.col("__rows"))
+    usable = usable.select(key, lang, text).join(F.broadcast(counts), F.col(lang) == F.col("__lang")).where(few)
     order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key, text)
     chosen = usable.select(key, lang, text).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang)  # limited before it is shuffled
     rows = sorted(((r[lang], r["__n"], r[text]) for r in chosen.collect()), key=lambda r: r[:2])
