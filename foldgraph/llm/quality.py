@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, written
+from .common import small_batches, smallest_hashes, written
 
 #: Most labelled rows that the classifier is fitted on (the smallest hashes of their keys).
 TRAIN_ROWS = 20_000
@@ -100,6 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """
     small_batches(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
+    share = 2 * rows / max(1, labels.count())
+    chosen = chosen.where(smallest_hashes(F.col("k"), F.lit(share))) if share < 1 else chosen
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(rows)
     x = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("y", _features(F.col("t")).alias("x"), F.xxhash64("k").alias("h")).orderBy("h").limit(rows).toArrow()
     values = np.array(x["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
