@@ -29,7 +29,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """
     usable = docs.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     # One row per language, and a language is a label of the model: a small table.
-    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__rows"))
+    counts = docs.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(lang).isNotNull()).groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__rows"))
     few = smallest_hashes(F.col(key), F.lit(20.0 * per_lang) / F.col("__rows"))
     usable = usable.select(key, lang, text).join(F.broadcast(counts), F.col(lang) == F.col("__lang")).where(few)
     order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key, text)
