@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Buckets of a new index.  Fixed when the index is made.
-BUCKETS = 16
+#: Least and most buckets of a new index, and rows of its first batch to a bucket.  Fixed when the index is made.
+BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 16, 1 << 16, 4_000_000
 
 _WHITE = r"[\x20\x09-\x0D]+"
 
@@ -31,6 +31,11 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(normalised(text), "UTF-8"), 256)
 
 
+def buckets_for(rows: int) -> int:
+    """A power of two, so that a bucket of an index made for ``rows`` is sorted by one task."""
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << (max(1, -(-rows // BUCKET_ROWS)) - 1).bit_length()))
+
+
 class DigestIndex:
     """A catalog table ``(digest, keep_id)``, bucketed and sorted by digest."""
 
@@ -71,8 +76,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "
     of null key stay only if no row with a key has their text.  Empty: empty.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, id_type=docs.schema[key].dataType.simpleString())
     own, _ = written(docs.select(F.col(key).alias("id"), digest(F.col(text)).alias("digest")), "digests")
+    index = index or DigestIndex(spark, buckets=buckets_for(own.count()), id_type=docs.schema[key].dataType.simpleString())
     index.ingest(own)
     sizes = own.groupBy("digest").agg(F.count("*").alias("group_size"))
     # Written, so that the last join has plain shuffles on both sides and a digest that very many rows share is split.

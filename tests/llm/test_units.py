@@ -57,6 +57,11 @@ def test_store_file():
             token_store.Reader(io.BytesIO(out.getvalue()[:cut]))
 
 
+def test_buckets_grow_with_the_first_batch():
+    rows = exact_dedup.BUCKET_ROWS
+    assert [exact_dedup.buckets_for(n) for n in (0, 1, 16 * rows, 16 * rows + 1, 10**15)] == [16, 16, 16, 32, exact_dedup.MOST_BUCKETS]
+
+
 def test_index_over_batches(spark):
     index = exact_dedup.DigestIndex(spark)
     batch = lambda rows: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"), index).collect()}
