@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import add
 
 KINDS = ["email", "ip", "card", "phone"]
 Span = tuple[int, int, str]  # first code point, end, kind
@@ -66,6 +68,8 @@ _ANCHOR = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.S)
 #: Tokens and code points of the longest candidate segment.
 MAX_TOKENS, MAX_CHARS = 20, 64
+#: Entries of a model's memo of segments' own scores, after which it starts afresh.
+MEMO = 50_000
 
 
 def regions(text: str) -> list[tuple[int, int]]:
@@ -101,18 +105,26 @@ def _inner(s: str) -> tuple[str, ...]:
     ip = [p for p in s.split(".")]
     return (
         f"n{min(n, 20)}", f"a{letters}", f"m{marks[:8]}", f"f{_class(s[0])}", f"l{_class(s[-1])}", f"s{shape}", f"@{s.count('@')}", f".{min(s.count('.'), 5)}",
-        f"L{13 <= n <= 19 and not letters and luhn(digits)}", f"4{len(ip) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in ip)}",
+        f"L{13 <= n <= 19 and not letters and luhn(digits)}", f"4{len(ip) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in ip)}",
         f"D{bool(left) and set(left) <= _LOCAL and bool(_DOMAIN.fullmatch(right))}", f"P{s[0] == '+' and not letters}{10 <= n <= 15}", f"B{s.count('(') == s.count(')')}",
     )
 
 
 def segment_features(text: str, a: int, b: int) -> list[str]:
     """Features of a whole span: what it holds, its shape, and what touches it."""
+    return [*_inner(text[a:b]), *_outer(text, a, b)]
+
+
+def _outer(text: str, a: int, b: int) -> list[str]:
     before = _class(text[a - 1]) if a else "edge"
     after = _class(text[b]) if b < len(text) else "edge"
     touch = f"t{before in ('digit', 'letter')}{after in ('digit', 'letter')}"
     follow = _class(text[b + 1]) if b + 1 < len(text) else "edge"
-    return [*_inner(text[a:b]), touch, f"b{before}", f"e{after}{follow if after in '.-, ' or after == 'space' else ''}", "1"]
+    return [touch, f"b{before}", f"e{after}{follow if after in '.-, ' or after == 'space' else ''}", "1"]
+
+
+def _cuts(text: str, a: int, b: int) -> list[int]:
+    return [a] + [m.end() for m in _TOKEN.finditer(text, a, b)]
 
 
 class SemiCrf:
@@ -120,10 +132,13 @@ class SemiCrf:
 
     def __init__(self):
         self.weights: dict[tuple[str, str], float] = {}
+        self.known: dict[str, list[float]] = {}
+
+    def __getstate__(self):
+        return {"weights": self.weights, "known": {}}
 
-    def _lattice(self, text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
-        cuts = [a] + [m.end() for m in _TOKEN.finditer(text, a, b)]
-        segments = []
+    def _segments(self, text: str, cuts: list[int]) -> Iterator[tuple[int, int]]:
+        """Candidate segments between cuts, one at a time: a region may be as long as a text."""
         for i in range(len(cuts) - 1):
             if text[cuts[i]].isspace() or (i and text[cuts[i] - 1].isalnum() and text[cuts[i]].isalnum() and text[cuts[i] - 1].isdigit() == text[cuts[i]].isdigit()):
                 continue
@@ -137,19 +152,28 @@ class SemiCrf:
                     break
                 held = held or last == "@" or last.isdigit()
                 if held and last.isalnum() and cuts[j] - cuts[i] >= 7:
-                    segments.append((i, j, segment_features(text, cuts[i], cuts[j])))
-        return cuts, segments
+                    yield i, j
+
+    def _inside(self, s: str) -> list[float]:
+        """The part of a segment's scores that its own characters give, from a bounded memo."""
+        if (known := self.known.get(s)) is None:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            known = self.known[s] = self.scores(_inner(s))
+        return known
 
-    def scores(self, features: list[str]) -> list[float]:
+    def scores(self, features: Iterable[str]) -> list[float]:
         get = self.weights.get
         return [sum([get((k, f), 0.0) for f in features]) for k in KINDS]
 
     def decode(self, text: str, a: int, b: int) -> list[Span]:
         """The best segmentation of a region: boundaries and kinds chosen together."""
-        cuts, segments = self._lattice(text, a, b)
+        cuts = _cuts(text, a, b)
         by_end: dict[int, list[tuple[int, float, str]]] = {}
-        for i, j, f in segments:
-            best, kind = max(zip(self.scores(f), KINDS, strict=True), key=lambda x: x[0])
+        for i, j in self._segments(text, cuts):
+            own = self._inside(text[cuts[i] : cuts[j]])
+            both = map(add, own, self.scores(_outer(text, cuts[i], cuts[j])))
+            best, kind = max(zip(both, KINDS, strict=True), key=lambda x: x[0])
             if best > 0:
                 by_end.setdefault(j, []).append((i, best, kind))
         best, back = [0.0] * len(cuts), [None] * len(cuts)
@@ -173,7 +197,8 @@ class SemiCrf:
         lattices = []
         for text, gold in lines:
             for a, b in regions(text):
-                cuts, segments = self._lattice(text, a, b)
+                cuts = _cuts(text, a, b)
+                segments = [(i, j, segment_features(text, cuts[i], cuts[j])) for i, j in self._segments(text, cuts)]
                 if segments:
                     where = {c: k for k, c in enumerate(cuts)}
                     truth = {(where[s], where[e], k) for s, e, k in gold if s in where and e in where}
@@ -210,6 +235,7 @@ class SemiCrf:
                     g += ridge * self.weights.get(key, 0.0)
                     square[key] = square.get(key, 1e-8) + g * g
                     self.weights[key] = self.weights.get(key, 0.0) - rate * g / math.sqrt(square[key])
+        self.known.clear()
 
 
 def practice_lines(seed: int = 11, n: int = 60) -> list[tuple[str, list[Span]]]:
