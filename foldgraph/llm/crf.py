@@ -12,6 +12,8 @@ BUCKETS = 1 << 16
 #: Words of one training window, and of one block of the parallel forward-backward pass.
 WINDOW, BLOCK = 32, 32
 MEMO = 400_000
+#: Words of the texts labelled together; one longer text is labelled by itself.
+TOGETHER = 200_000
 
 
 def word_features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
@@ -137,9 +139,25 @@ class Crf:
         g = self.posteriors([words])[0]
         return [(w, self.labels[k], float(p[k])) for w, p, k in zip(words, g, g.argmax(1), strict=True)] if words else []
 
-    def document_labels(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """The label with the largest mean posterior over all words; ``und`` without letters."""
-        words = [WORD.findall((t or "").lower()) for t in texts]
+    def document_labels(self, texts: list[str | None], together: int = TOGETHER) -> list[tuple[str, float]]:
+        """The label with the largest mean posterior over all words; ``und`` without letters.
+
+        Memory is that of about ``together`` words, or of the longest text.
+        """
+        out: list[tuple[str, float]] = []
+        held: list[list[str]] = []
+        size = 0
+        for i, t in enumerate(texts):
+            words = WORD.findall((t or "").lower())
+            # The pattern also takes signs that count as numbers, such as a half or a raised two.
+            held.append(words if any(c.isalpha() for w in words for c in w) else [])
+            size += len(words)
+            if size >= together or i == len(texts) - 1:
+                out += self._labels_of(held)
+                held, size = [], 0
+        return out
+
+    def _labels_of(self, words: list[list[str]]) -> list[tuple[str, float]]:
         out = []
         for g in self.posteriors(words) if self.labels else [np.zeros((0, 1))] * len(words):
             if len(g):
