@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch handed to a Python worker.  Texts are long, so the
 #: engine default of 10,000 rows would put gigabytes in one batch.
 BATCH_ROWS = 400
+#: Bytes of one Arrow batch, for tables in which every text is long; one longer row is a batch by itself.
+BATCH_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch for this session (never raises the limit)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the rows and bytes of an Arrow batch for this session (never raises a limit)."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
 
 
 def shared_dir(spark: SparkSession) -> str:

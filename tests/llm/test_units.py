@@ -8,11 +8,12 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from foldgraph.llm import bpe, chat, exact_dedup, quality, token_store
+from foldgraph.llm import bpe, chat, common, exact_dedup, quality, token_store
 from foldgraph.llm.crf import Crf
 from foldgraph.llm.html_tree import visible_text
 from foldgraph.llm.pii_spans import SemiCrf, all_spans, base_spans, brute_force, practice_lines
@@ -118,6 +119,8 @@ def test_spans():
     model.fit(practice_lines())
     text = "call (555) 123-4567, +1 (269) 555-3296 4524132264652876 on 2024-05-06"
     base, every = all_spans(model, text)
+    for odd in ("see 10.2.3\u00b2.44 now", "1\u00b2.2.3.4567 @\u00bd.\u0663", "+1" * 300, "1.1" * 300):  # digits that are no numbers; regions of many candidates
+        assert all_spans(model, odd)[0] == brute_force(odd)
     assert base == [] and {(text[a:b], k) for a, b, k in every} == {("(555) 123-4567", "phone"), ("+1 (269) 555-3296", "phone"), ("4524132264652876", "card")}
 
 
@@ -131,6 +134,31 @@ def test_code_switching():
     assert crf.moves[0, 0] > crf.moves[0, 1] and crf.moves[1, 1] > crf.moves[1, 0]
 
 
+def test_language_of_odd_texts():
+    """Signs that count as numbers are no letters; texts labelled together or one by one are labelled alike."""
+    crf = Crf(["x", "y"])
+    crf.fit(["kalo kami kate"] * 9 + ["bex box bix"] * 9, [0] * 9 + [1] * 9)
+    texts = ["\u00bd \u00b2", "1 2", None, "", "kalo", "m\u00b2 bex box", "kami " * 500]
+    found = crf.document_labels(texts)
+    assert [k for k, _ in found] == ["und"] * 4 + ["x", "y", "x"] and [s for _, s in found[:4]] == [0.0] * 4
+    assert [k for k, _ in crf.document_labels(texts, together=1)] == [k for k, _ in found] and crf.document_labels([]) == []
+
+
+def test_batches_are_bounded(spark):
+    """Long texts come in batches of few rows."""
+
+    @F.arrow_udf("long")
+    def rows_of_batch(t: pa.Array) -> pa.Array:
+        return pa.array([len(t)] * len(t), pa.int64())
+
+    common.small_batches(spark, rows=400, size=1 << 20)
+    try:
+        seen = spark.range(0, 300, 1, 1).select(rows_of_batch(F.repeat(F.lit("x"), 100_000))).distinct().toArrow()[0].to_pylist()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", common.BATCH_BYTES)
+    assert max(seen) < 20
+
+
 def test_sites_shrink(spark):
     """A sparse site stays near the level above it; a large one speaks for itself."""
     rows = [("good", "a", 0.95)] * 400 + [("bad", "a", 0.05)] * 400 + [("bad", "b", 0.95)] + [("new", "a", 0.05)] + [(f"h{i}", "a", 0.9 if i % 3 else 0.2) for i in range(60) for _ in range(20)]
