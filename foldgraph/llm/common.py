@@ -61,6 +61,15 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Column that ``numbered`` adds.
+ROW = "__row_number"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a distinct BIGINT for each row in ``ROW``, written, so that every read gives the same numbers."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)[0]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``written`` made, by the file system that owns it."""
     jvm = spark.sparkContext._jvm

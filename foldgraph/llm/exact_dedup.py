@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ROW, numbered, written
 
 #: Least and most buckets of a new index, and rows of its first batch to a bucket.  Fixed when the index is made.
 BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 16, 1 << 16, 4_000_000
@@ -65,7 +65,7 @@ class DigestIndex:
         self.spark.sql(f"drop table if exists {self.name}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """``(key, keep_id, group_size, kept, text_sha256)``, one row per row of ``docs``.
 
     Texts are equal when they are identical after each run of ASCII white space
@@ -74,20 +74,29 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "
     ``keep_id`` names the earlier row.  ``group_size`` counts this batch's rows.
     Null texts count as empty.  Rows that repeat a key stay or go together; rows
     of null key stay only if no row with a key has their text.  Empty: empty.
+    Columns named in ``carry`` come back too.
     """
     spark = docs.sparkSession
-    own, _ = written(docs.select(F.col(key).alias("id"), digest(F.col(text)).alias("digest")), "digests")
+    own, _ = written(docs.select(F.col(key).alias("id"), digest(F.col(text)).alias("digest"), *carry), "digests")
     index = index or DigestIndex(spark, buckets=buckets_for(own.count()), id_type=docs.schema[key].dataType.simpleString())
     index.ingest(own)
     sizes = own.groupBy("digest").agg(F.count("*").alias("group_size"))
     # Written, so that the last join has plain shuffles on both sides and a digest that very many rows share is split.
     groups, _ = written(sizes.join(index.table().hint("merge"), "digest"), "groups")
     kept = F.col("id").eqNullSafe(F.col("keep_id"))
-    return own.join(groups, "digest").select(F.col("id").alias(key), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    return own.join(groups, "digest").select(F.col("id").alias(key), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), *carry)
 
 
-def keep_first(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``deduplicate`` keeps, with all their columns."""
-    found, _ = written(deduplicate(docs, index, text, key), "exact")
-    gone = found.where("not kept").select(F.col(key).alias("gone_key")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(gone.gone_key), "left_anti")
+def keep_first(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", key: str = "doc_id", repeats: bool = True) -> DataFrame:
+    """The rows of ``docs`` that ``deduplicate`` keeps, with all their columns.
+
+    Rows are told apart by number, not by key: a row that goes takes no other row of
+    its key along.  Of rows of null key with one text, one stays.  Rows that repeat
+    both key and text stay together, or with ``repeats=False`` one of them does, so
+    that exactly one row of each text is left.
+    """
+    rows = numbered(docs, "exact-rows")
+    found, _ = written(deduplicate(rows, index, text, key, (ROW,)).where("kept"), "exact")
+    one = found.groupBy("text_sha256").agg(F.min(ROW).alias(ROW)).select(ROW)
+    stay = one.union(found.where(F.col(key).isNotNull()).select(ROW)) if repeats else one
+    return rows.join(stay, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

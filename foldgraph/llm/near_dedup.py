@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import ROW, numbered, small_batches, written
 from .components import connected_components
 from .shingles import simhash
 
@@ -115,13 +115,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return own.join(whole, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, **options) -> DataFrame:
+def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", repeats: bool = True, **options) -> DataFrame:
     """The rows of ``docs`` that are the smallest key of their near-duplicate group.
 
     All columns stay.  Rows whose key is null stay only if no keyed row is in
-    their group.
+    their group, and then one of them does.  Rows are told apart by number, not by
+    key: a row that goes takes no other row of its key along.  Rows of a group that
+    repeat its smallest key stay together, or with ``repeats=False`` one of them
+    does, so that exactly one row of each group is left.
     """
-    key = options.get("key", "doc_id")
-    found, _ = written(near_duplicates(docs, **options), "near-duplicates")
-    gone = found.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone_key")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(gone.gone_key), "left_anti")
+    rows = numbered(docs, "near-rows")
+    rank = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col(ROW).alias("row"))
+    found, _ = written(near_duplicates(rows.select(rank.alias("rank"), F.col(text).alias("t")), "t", "rank", **options), "near-duplicates")
+    first = F.col("rank.row") == F.col("component_id.row")
+    if repeats:
+        first = first | (F.col("rank.key") == F.col("component_id.key"))
+    return rows.join(found.where(first).select(F.col("rank.row").alias(ROW)), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

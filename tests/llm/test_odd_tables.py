@@ -56,6 +56,19 @@ def test_near(docs):
     assert kept.columns == docs.columns and kept.count() == (5 if rows else 0)  # 1 twice, 2, 4, 6
 
 
+def test_rows_of_one_key_are_told_apart(spark):
+    """A copied text takes no unique text of its key along; of each text, and of each group, one row is left."""
+    copy, own, third, more = "a b c d e f", "words that no other row has", "once more something else here", "copies of a null key alone"
+    rows = [(1, copy), (None, copy), (None, own), (None, more), (None, more), (7, third), (7, third), (7, copy)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for keep in (exact_dedup.keep_first, near_dedup.keep_representatives):
+        whole = {(1, copy), (None, own), (None, more), (7, third)}
+        found = [tuple(r) for r in keep(docs, repeats=False).collect()]
+        assert len(found) == 4 and set(found) == whole
+        found = [tuple(r) for r in keep(docs).collect()]
+        assert len(found) == 5 and set(found) == whole
+
+
 def test_quality(docs, labels):
     out = quality.judged(docs, labels).collect()
     assert len(out) == docs.count() and all(0 <= r.q_score <= 1 for r in out)
