@@ -28,8 +28,8 @@ _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?)""")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 _STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.I)
-#: Elements nested deeper than this become children of the one at this depth.
-MAX_DEPTH = 200
+#: Lists and cells nested deeper than this get no more indents and padding, which would grow with the square of the depth.
+MAX_INDENT = 100
 
 
 class Node:
@@ -97,28 +97,33 @@ def tree(html: str) -> Node:
     """The element tree, with implied tags put in and misnested ends repaired."""
     root = Node("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # by name: where in the stack its open elements are; without the root
+
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
+    def pop_to(size: int) -> None:
+        while len(stack) > size:
+            places[stack.pop().name].pop()
 
     def push(name: str, attributes: dict[str, str] | None = None) -> None:
         node = Node(name, attributes)
         stack[-1].children.append(node)
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
+        places.setdefault(name, []).append(len(stack))
+        stack.append(node)
 
     def close(names, borders) -> None:
         """Pop up to the innermost open element of ``names`` inside ``borders``, if there is one."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in borders:
-                return
+        at = last(names)
+        if at and at >= last(borders):
+            pop_to(at)
 
     for token in tokens(html):
         kind = token[0]
         if kind == "text" or kind == "raw":
             text = unescape(token[1]) if kind == "text" and "&" in token[1] else token[1]
             if stack[-1].name == "head" and text.strip(" \t\n\f\r"):
-                stack.pop()
+                pop_to(len(stack) - 1)
             if stack[-1].name in ("table", "tbody", "thead", "tfoot", "tr", "colgroup") and not text.strip(" \t\n\f\r"):
                 continue
             stack[-1].children.append(text)
@@ -129,7 +134,7 @@ def tree(html: str) -> Node:
                 stack[-1].children.append(Node("br"))
             elif name in ("html", "body"):
                 pass  # what follows still belongs to the body
-            elif name == "p" and not any(x.name == "p" for x in stack):
+            elif name == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p"))
             elif name in _HEADINGS:
                 close(_HEADINGS, _SCOPE)
@@ -143,13 +148,13 @@ def tree(html: str) -> Node:
             root.attributes = attributes | root.attributes
             continue
         if stack[-1].name == "head" and name not in _HEAD:
-            stack.pop()
-        if name in ("head", "body") and any(x.name == name for x in stack):
+            pop_to(len(stack) - 1)
+        if name in ("head", "body") and places.get(name):
             continue
         if name in _CLOSES_P:
             close({"p"}, _SCOPE)
         if name in _HEADINGS and stack[-1].name in _HEADINGS:
-            stack.pop()
+            pop_to(len(stack) - 1)
         if name in _IMPLIED_END:
             names, borders = _IMPLIED_END[name]
             again = True
@@ -227,13 +232,28 @@ def _shown(node: Node, visible: bool) -> tuple[bool, bool]:
     return True, visible
 
 
-def _inside(children: list, visible: bool, pre: bool, depth: int) -> str:
+def _run(call):
+    """The result of a generator that yields its calls of others; their depth is only bounded by memory."""
+    calls, value = [call], None
+    while calls:
+        try:
+            inner = calls[-1].send(value)
+        except StopIteration as end:
+            calls.pop()
+            value = end.value
+        else:
+            calls.append(inner)
+            value = None
+    return value
+
+
+def _inside(children: list, visible: bool, pre: bool, depth: int):
     page = _Page()
-    _flow(children, page, visible, pre, depth)
+    yield _flow(children, page, visible, pre, depth)
     return page.text()
 
 
-def _flow(children: list, page: _Page, visible: bool, pre: bool, depth: int) -> None:
+def _flow(children: list, page: _Page, visible: bool, pre: bool, depth: int):
     for child in children:
         if isinstance(child, str):
             if visible:
@@ -249,57 +269,57 @@ def _flow(children: list, page: _Page, visible: bool, pre: bool, depth: int) ->
             page.need(1)
         elif name in ("ul", "ol", "menu", "dir"):
             page.need(1 if depth else 2)
-            _list(child, page, seen, depth)
+            yield _list(child, page, seen, depth)
             page.need(1 if depth else 2)
         elif name == "table":
             page.need(2)
-            if text := _table(child, seen, depth):
+            if text := (yield _table(child, seen, depth)):
                 page.raw(text)
             page.need(2)
         elif name in ("pre", "listing"):
             page.need(2)
-            body = _inside(child.children, seen, True, depth)
+            body = yield _inside(child.children, seen, True, depth)
             page.raw(body.removeprefix("\n").rstrip("\n"))
             page.need(2)
         elif name == "details" and "open" not in child.attributes:
             page.need(1)
-            _flow([x for x in child.children if isinstance(x, Node) and x.name == "summary"][:1], page, seen, pre, depth)
+            yield _flow([x for x in child.children if isinstance(x, Node) and x.name == "summary"][:1], page, seen, pre, depth)
             page.need(1)
         elif name in _BLOCK:
             gap = 2 if name in _SPACED else 1
             page.need(gap)
-            _flow(child.children, page, seen, pre, depth)
+            yield _flow(child.children, page, seen, pre, depth)
             page.need(gap)
         else:
-            _flow(child.children, page, seen, pre, depth)
+            yield _flow(child.children, page, seen, pre, depth)
 
 
-def _list(node: Node, page: _Page, visible: bool, depth: int) -> None:
+def _list(node: Node, page: _Page, visible: bool, depth: int):
     number = node.attributes.get("start", "1").strip()
     number = int(number) if re.fullmatch(r"-?[0-9]{1,9}", number) else 1
     for child in node.children:
         if isinstance(child, str) or child.name != "li":
-            _flow([child], page, visible, False, depth)
+            yield _flow([child], page, visible, False, depth)
             continue
         laid_out, seen = _shown(child, visible)
         if not laid_out:
             continue
         mark = f"{number}. " if node.name == "ol" else "- "
         number += 1
-        body = _inside(child.children, seen, False, depth + 1)
+        body = yield _inside(child.children, seen, False, depth + 1)
         if body:
             page.need(1)
-            page.raw(mark + body.replace("\n", "\n" + " " * len(mark)))
+            page.raw(mark + (body.replace("\n", "\n" + " " * len(mark)) if depth < MAX_INDENT else body))
             page.need(1)
 
 
-def _rows(node: Node, visible: bool, depth: int) -> list[list[tuple[list[str], int]]]:
+def _rows(node: Node, visible: bool, depth: int):
     out = []
     for child in node.children:
         if isinstance(child, Node):
             laid_out, seen = _shown(child, visible)
             if laid_out and child.name in ("tbody", "thead", "tfoot"):
-                out += _rows(child, seen, depth)
+                out += yield _rows(child, seen, depth)
             elif laid_out and child.name == "tr":
                 row = []
                 for cell in child.children:
@@ -307,14 +327,14 @@ def _rows(node: Node, visible: bool, depth: int) -> list[list[tuple[list[str], i
                         cell_out, cell_seen = _shown(cell, seen)
                         if cell_out:
                             wide = cell.attributes.get("colspan", "1").strip()
-                            lines = _inside(cell.children, cell_seen, False, depth + 1).split("\n")
+                            lines = (yield _inside(cell.children, cell_seen, False, depth + 1)).split("\n")
                             row.append((lines, min(int(wide), 1000) if re.fullmatch("[1-9][0-9]{0,3}", wide) else 1))
                 if row:
                     out.append(row)
     return out
 
 
-def _table(node: Node, visible: bool, depth: int) -> str:
+def _table(node: Node, visible: bool, depth: int):
     """Caption and stray content first, then rows with every column padded to its widest cell."""
     stray = [c for c in node.children if isinstance(c, str) or c.name not in ("tbody", "thead", "tfoot", "tr", "colgroup", "col")]
     for group in node.children:
@@ -324,9 +344,9 @@ def _table(node: Node, visible: bool, depth: int) -> str:
                     stray.append(x)
                 elif isinstance(x, Node) and x.name == "tr":
                     stray += [y for y in x.children if (isinstance(y, str) and y.strip()) or (isinstance(y, Node) and y.name not in ("td", "th"))]
-    head = _inside(stray, visible, False, depth)
-    rows, widths = _rows(node, visible, depth), {}
-    for row in rows:
+    head = yield _inside(stray, visible, False, depth)
+    rows, widths = (yield _rows(node, visible, depth)), {}
+    for row in rows if depth < MAX_INDENT else []:
         at = 0
         for lines, span in row:
             if span == 1:
@@ -346,4 +366,4 @@ def _table(node: Node, visible: bool, depth: int) -> str:
 
 def visible_text(html: str | None) -> str:
     """All visible text of a page, laid out; null and empty pages: empty."""
-    return _inside([tree(html)], True, False, 0).strip("\n") if html else ""
+    return _run(_inside([tree(html)], True, False, 0)).strip("\n") if html else ""

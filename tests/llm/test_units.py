@@ -110,6 +110,18 @@ def test_pages():
     assert visible_text("<div>" * 5000 + "deep") == "deep" and visible_text(None) == visible_text("") == ""
 
 
+def test_deep_pages():
+    """Whatever the depth: code and hidden text stay out, marks, cells and end tags count."""
+    for n in (150, 300, 5000):
+        deep = "<div>" * n
+        assert visible_text(deep + "<script>c()</script><style>s</style><i hidden>n</i><b style='display:none'>n</b>v") == "v"
+        assert visible_text(deep + "<ul><li>x<li>y</ul><table><tr><td>a<td>b</table>") == "- x\n- y\n\na  b"
+        assert visible_text("<div hidden>" + deep + "<b><i>n</i></b>" * 300 + "</div>" * n + "n</div>v") == "v"
+    n = 20_000
+    assert visible_text("<ul><li>x" * n).count("- x") == n and visible_text("<table><tr><td>x<td>" * 3000).count("x") == 3000
+    assert visible_text("<p><button>" + "<b>x<div>" * n).count("x") == n
+
+
 def test_spans():
     r = random.Random(9)
     for _ in range(3000):
