@@ -15,8 +15,8 @@ def extracted(pages: DataFrame, html: str = "html", out: str = "text") -> DataFr
 
     A tree builder puts in implied tags and repairs misnesting; visibility rules
     (elements without text, ``hidden``, ``display: none``, ``visibility``, closed
-    ``details`` and ``dialog``) take away what a reader doesn't see; nothing else is
-    dropped.  Blocks stand apart by line breaks, list items keep their marks and
+    ``details`` and ``dialog``, parts of drawings and formulas that aren't drawn) take
+    away what a reader doesn't see; nothing else is dropped.  Blocks stand apart by line breaks, list items keep their marks and
     indents, table cells are padded to columns, ``pre`` keeps its spaces.  Null and
     empty pages have empty text.  Rows are independent: repeated rows, null keys
     and extra columns come back as they are.

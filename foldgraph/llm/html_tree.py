@@ -12,7 +12,7 @@ _HEAD = frozenset("base basefont bgsound link meta title script style template n
 _BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp caption""".split())
 _SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure listing xmp".split())
-_HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist svg math area param source track".split())
+_HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist area param source track".split())
 _CLOSES_P = _BLOCK - frozenset("body html li dd dt tbody td tfoot th thead tr option optgroup caption legend summary".split())
 #: A start tag ends these open elements first, as far up as the given borders.
 _IMPLIED_END = {
@@ -21,6 +21,12 @@ _IMPLIED_END = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "caption", "colgroup"}, {"table"}),
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
+#: Parts of drawings and formulas that aren't drawn; parts of formulas that stand apart; HTML begins again in the third; HTML tags that end both.
+_UNDRAWN = {"svg": frozenset("title desc defs metadata symbol marker pattern clippath mask filter lineargradient radialgradient".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
+_APART = frozenset("mfrac msub msup msubsup mmultiscripts mroot munder mover munderover mtable mtr mlabeledtr".split())
+_HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+_ENDS_FOREIGN = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby
+s small span strong strike sub sup table tt u ul var""".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("table td th caption html template button object".split())
 
@@ -39,8 +45,11 @@ class Node:
         self.name, self.attributes, self.children = name, attributes or {}, []
 
 
-def tokens(html: str):
-    """``("text", s)``, ``("start", name, attributes, closed)`` and ``("end", name)`` in order; linear."""
+def tokens(html: str, foreign=lambda: False):
+    """``("text", s)``, ``("start", name, attributes, closed)`` and ``("end", name)`` in order; linear.
+
+    ``foreign``: is the reader inside a drawing or formula, where ``/>`` ends an element?
+    """
     at, n = 0, len(html)
     while at < n:
         lt = html.find("<", at)
@@ -83,7 +92,10 @@ def tokens(html: str):
         if closing:
             yield "end", name
             continue
+        whole = closed and foreign()
         yield "start", name, attributes, closed
+        if whole:
+            continue
         if name in _RAW or name in _RCDATA:
             m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
             body = html[at : m.start()] if m else html[at:]
@@ -118,7 +130,10 @@ def tree(html: str) -> Node:
         if at and at >= last(borders):
             pop_to(at)
 
-    for token in tokens(html):
+    def foreign() -> bool:
+        return last(("svg", "math")) > last(_HTML_AGAIN)
+
+    for token in tokens(html, foreign):
         kind = token[0]
         if kind == "text" or kind == "raw":
             text = unescape(token[1]) if kind == "text" and "&" in token[1] else token[1]
@@ -147,6 +162,15 @@ def tree(html: str) -> Node:
         if name == "html":
             root.attributes = attributes | root.attributes
             continue
+        if outer := last(("svg", "math")):
+            kind = stack[outer].name
+            if foreign() and (name in _ENDS_FOREIGN or (name == "font" and not attributes.keys().isdisjoint(("color", "face", "size")))):
+                while foreign():
+                    pop_to(last(("svg", "math")))
+            elif name in _UNDRAWN[kind] or (kind == "svg" and attributes.get("display", "").strip().lower() == "none"):
+                attributes = attributes | {"hidden": ""}
+            elif kind == "svg" and "visibility" in attributes:
+                attributes = attributes | {"style": f"visibility:{attributes['visibility']};{attributes.get('style', '')}"}
         if stack[-1].name == "head" and name not in _HEAD:
             pop_to(len(stack) - 1)
         if name in ("head", "body") and places.get(name):
@@ -168,7 +192,7 @@ def tree(html: str) -> Node:
             if stack[-1].name == "table":
                 push("tbody")
             push("tr")
-        if name in _VOID or (closed and name in ("svg", "math")):
+        if name in _VOID or (closed and (name in ("svg", "math") or foreign())):
             stack[-1].children.append(Node(name, attributes))
         else:
             push(name, attributes)
@@ -285,6 +309,13 @@ def _flow(children: list, page: _Page, visible: bool, pre: bool, depth: int):
             page.need(1)
             yield _flow([x for x in child.children if isinstance(x, Node) and x.name == "summary"][:1], page, seen, pre, depth)
             page.need(1)
+        elif name == "svg":
+            yield _drawing(child, page, seen, depth)
+        elif name in _APART:
+            for x in child.children:
+                page.write(" ")
+                yield _flow([x], page, seen, pre, depth)
+            page.write(" ")
         elif name in _BLOCK:
             gap = 2 if name in _SPACED else 1
             page.need(gap)
@@ -294,6 +325,19 @@ def _flow(children: list, page: _Page, visible: bool, pre: bool, depth: int):
             yield _flow(child.children, page, seen, pre, depth)
 
 
+def _drawing(node: Node, page: _Page, visible: bool, depth: int):
+    """The labels of a drawing, apart from each other; text outside of labels isn't drawn."""
+    parts = [x for x in node.children if isinstance(x, Node)]
+    for child in parts[:1] if node.name == "switch" else parts:
+        laid_out, seen = _shown(child, visible)
+        if laid_out and child.name in ("text", "foreignobject"):
+            page.write(" ")
+            yield _flow(child.children, page, seen, False, depth)
+            page.write(" ")
+        elif laid_out:
+            yield _drawing(child, page, seen, depth)
+
+
 def _list(node: Node, page: _Page, visible: bool, depth: int):
     number = node.attributes.get("start", "1").strip()
     number = int(number) if re.fullmatch(r"-?[0-9]{1,9}", number) else 1

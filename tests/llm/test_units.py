@@ -122,6 +122,14 @@ def test_deep_pages():
     assert visible_text("<p><button>" + "<b>x<div>" * n).count("x") == n
 
 
+def test_formulas_and_drawings():
+    assert visible_text("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><mspace/><annotation encoding='t'>n</annotation></math> b") == "a x= 1 2 b"
+    assert visible_text("<svg><title>n</title><desc>n</desc><defs><text>n</text></defs><metadata>n</metadata><style/><path d='M0'/>n<g><text>A<tspan>b</tspan></text><text>C</text></g></svg>d") == "Ab C d"
+    assert visible_text("<svg><defs/><title/><text>y</text><text display='none'>n</text><g visibility='hidden'><text>n</text></g></svg>z") == "y z"
+    assert visible_text("<svg><switch><foreignObject><div>in <b>it</b></div></foreignObject><text>n</text></switch></svg>") == "in it"
+    assert visible_text("<svg><g>n<div>out</div>v") == "out\nv" and visible_text("<div><svg/>v</div>") == "v"
+
+
 def test_spans():
     r = random.Random(9)
     for _ in range(3000):
