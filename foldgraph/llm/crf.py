@@ -9,6 +9,8 @@ import numpy as np
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
+#: Most letters of a word; a longer run of letters is taken as several, each with the two letters before it.
+PIECE, SEAM = 30, 2
 #: Words of one training window, and of one block of the parallel forward-backward pass.
 WINDOW, BLOCK = 32, 32
 MEMO = 400_000
@@ -16,12 +18,34 @@ MEMO = 400_000
 TOGETHER = 200_000
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased; a run over ``PIECE`` letters in pieces of about one size.
+
+    Pieces hold every letter and every three neighbours of a run; ``-`` marks an end that isn't one of the run.
+    """
+    out = []
+    for run in WORD.findall(text.lower()):
+        if (n := len(run)) <= PIECE:
+            out.append(run)
+            continue
+        parts = -(-n // (PIECE - SEAM))
+        cuts = [n * k // parts for k in range(parts + 1)]
+        out += [("-" if a else "") + run[max(0, a - SEAM) : b] + ("-" if b < n else "") for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
+def own_letters(word: str) -> str:
+    """What a piece adds to the pieces before it; a whole word as it is."""
+    return word[1 + SEAM :].rstrip("-") if word[0] == "-" else word.rstrip("-")
+
+
 def word_features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
-    """Buckets of a lower-cased word: itself, affixes, letter n-grams, lexicons that have it."""
-    w = f"<{word}>"
-    keys = [w, *(w[: k + 1] + "|" for k in (1, 2, 3)), *("|" + w[-k - 1 :] for k in (1, 2, 3))]
-    keys += [w[i : i + 3] for i in range(min(len(w) - 2, 30))]
-    keys += [w[i : i + 2] + "." for i in range(min(len(w) - 1, 30))]
+    """Buckets of a word of ``words_of``: itself, affixes at ends of the run, letter n-grams, lexicons that have it."""
+    first, final = word[0] != "-", word[-1] != "-"
+    w = "<" * first + word.strip("-") + ">" * final
+    keys = [w, *(w[: k + 1] + "|" for k in (1, 2, 3) if first), *("|" + w[-k - 1 :] for k in (1, 2, 3) if final)]
+    keys += [w[i : i + 3] for i in range(len(w) - 2)]
+    keys += [w[i : i + 2] + "." for i in range(len(w) - 1)]
     keys += [f"lexicon {label}" for label in lexicon.get(word, (-1,))]
     return [crc32(k.encode("utf-8", "surrogatepass")) % BUCKETS for k in keys]
 
@@ -56,7 +80,7 @@ class Crf:
         between labels are learned as well as staying.
         """
         rng, size = np.random.default_rng(seed), len(self.labels)
-        docs = [WORD.findall(t.lower()) for t in texts]
+        docs = [words_of(t) for t in texts]
         seen: dict[str, dict[int, int]] = {}
         for words, label in zip(docs, truth, strict=True):
             for w in set(words):
@@ -134,10 +158,10 @@ class Crf:
         return np.split(gamma, np.cumsum(counts)[:-1])
 
     def label_words(self, text: str) -> list[tuple[str, str, float]]:
-        """``(word, label, probability)`` of each word of a code-switched text."""
-        words = WORD.findall(text.lower())
+        """``(word, label, probability)`` of each word, or piece of a long one, of a code-switched text."""
+        words = words_of(text)
         g = self.posteriors([words])[0]
-        return [(w, self.labels[k], float(p[k])) for w, p, k in zip(words, g, g.argmax(1), strict=True)] if words else []
+        return [(own_letters(w), self.labels[k], float(p[k])) for w, p, k in zip(words, g, g.argmax(1), strict=True)] if words else []
 
     def document_labels(self, texts: list[str | None], together: int = TOGETHER) -> list[tuple[str, float]]:
         """The label with the largest mean posterior over all words; ``und`` without letters.
@@ -148,7 +172,7 @@ class Crf:
         held: list[list[str]] = []
         size = 0
         for i, t in enumerate(texts):
-            words = WORD.findall((t or "").lower())
+            words = words_of(t or "")
             # The pattern also takes signs that count as numbers, such as a half or a raised two.
             held.append(words if any(c.isalpha() for w in words for c in w) else [])
             size += len(words)

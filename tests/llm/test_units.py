@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from foldgraph.llm import bpe, chat, common, exact_dedup, quality, token_store
-from foldgraph.llm.crf import Crf
+from foldgraph.llm.crf import Crf, words_of
 from foldgraph.llm.html_tree import visible_text
 from foldgraph.llm.pii_spans import SemiCrf, all_spans, base_spans, brute_force, practice_lines
 
@@ -164,6 +164,20 @@ def test_language_of_odd_texts():
     assert [k for k, _ in crf.document_labels(texts, together=1)] == [k for k, _ in found] and crf.document_labels([]) == []
 
 
+def test_language_of_long_runs():
+    """Text without spaces is judged by all of its letters, and every three neighbours are features."""
+    crf = Crf(["x", "y"])
+    crf.fit(["kalo kami kate"] * 9 + ["bex box bix"] * 9, [0] * 9 + [1] * 9)
+    run = "kalokami" * 5 + "bexboxbix" * 40
+    assert [k for k, _ in crf.document_labels([run, run[::-1], "kalokami" * 50 + "bex"])] == ["y", "y", "x"]
+    found = crf.label_words(run)
+    assert "".join(w for w, _, _ in found) == run and found[0][1] == "x" and found[-1][1] == "y"
+    for n in range(28, 130):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = [w.strip("-") for w in words_of(run)]
+        assert {w[i : i + 3] for w in parts for i in range(len(w) - 2)} == {run[i : i + 3] for i in range(n - 2)} and max(map(len, parts)) <= 30
+
+
 def test_batches_are_bounded(spark):
     """Long texts come in batches of few rows."""
 
