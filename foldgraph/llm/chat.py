@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprint (DataFrame functions only).
 
-A record's nested field paths, without the scalar types, are hashed; the hash picks
-a declarative mapping that says where the turns are.  Records of different layouts
+A record's nested field paths, as far as a mapping uses them, are hashed; the hash
+picks the declarative mapping that says where the turns are, so other fields are no
+matter.  Of several, the one with the most paths is taken.  Records of different layouts
 can be mixed in one column of JSON text.  Every layout ends as canonical turns
 ``(role, text)``, which a reversible template turns into one string with a loss
 mask over the assistants' texts.
@@ -27,82 +28,117 @@ _UNESCAPE = r"([<\[])\\(\\*)(" + _TAILS + ")"
 CHUNK = 64
 
 
+def hashed(paths) -> str:
+    return hashlib.sha256(", ".join(sorted(paths)).encode()).hexdigest()[:16]
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where a record keeps its turns.
 
-    ``shape``: the record's nested field paths.  ``pairs``: role and top-level field
-    of each turn, in order; or ``many``: array field, role field, text field.
+    ``pairs``: role and top-level field of each turn, in order; then ``many``: array
+    field, role field, text field; or ``row``: fields of a record that is one turn.
     """
 
     name: str
-    shape: str
     pairs: tuple[tuple[str, str], ...] = ()
     many: tuple[str, str, str] | None = None
+    row: tuple[str, ...] = ()
     rename: dict[str, str] = field(default_factory=lambda: {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"})
 
+    @property
+    def paths(self) -> list[str]:
+        """The field paths that the mapping uses, sorted."""
+        array = [f"{self.many[0]}[].{x}" for x in self.many[1:]] if self.many else []
+        return sorted([*(x for _, x in self.pairs), *array, *self.row])
+
     @property
     def fingerprint(self) -> str:
-        return hashlib.sha256(self.shape.encode()).hexdigest()[:16]
+        return hashed(self.paths)
 
 
-LAYOUTS = [
-    Layout("prompt_response", "OBJECT<prompt, response>", (("user", "prompt"), ("assistant", "response"))),
-    Layout("prompt_completion", "OBJECT<completion, prompt>", (("user", "prompt"), ("assistant", "completion"))),
-    Layout("question_answer", "OBJECT<answer, question>", (("user", "question"), ("assistant", "answer"))),
-    Layout("instruction", "OBJECT<instruction, output>", (("user", "instruction"), ("assistant", "output"))),
-    Layout("instruction_input", "OBJECT<input, instruction, output>", (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("system_instruction", "OBJECT<instruction, output, system>", (("system", "system"), ("user", "instruction"), ("assistant", "output"))),
-    Layout("messages", "OBJECT<messages: ARRAY<OBJECT<content, role>>>", many=("messages", "role", "content")),
-    Layout("conversations", "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", many=("conversations", "from", "value")),
-    Layout("turns", "OBJECT<turns: ARRAY<OBJECT<role, text>>>", many=("turns", "role", "text")),
+_PAIRS = [
+    ("prompt_response", (("user", "prompt"), ("assistant", "response"))),
+    ("prompt_completion", (("user", "prompt"), ("assistant", "completion"))),
+    ("question_answer", (("user", "question"), ("assistant", "answer"))),
+    ("instruction", (("user", "instruction"), ("assistant", "output"))),
+    ("instruction_input", (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
 ]
-#: A table with one row for each turn, known by its own field paths.
-TURN_ROWS = "OBJECT<conv_id, role, text, turn>"
+_MANY = [("messages", ("messages", "role", "content")), ("conversations", ("conversations", "from", "value")), ("turns", ("turns", "role", "text"))]
+_SYSTEM = (("system", "system"),)
+#: A table with one row for each turn, or a record of one turn.
+TURN_ROWS = Layout("turn_rows", row=("conv_id", "role", "text", "turn"))
+#: Each layout also with a system text of its own field.  Arrays come first: where paths are as many, the first is taken.
+LAYOUTS = [
+    *(Layout(name, many=many) for name, many in _MANY), *(Layout(f"system_{name}", _SYSTEM, many) for name, many in _MANY),
+    *(Layout(name, pairs) for name, pairs in _PAIRS), *(Layout(f"system_{name}", _SYSTEM + pairs) for name, pairs in _PAIRS),
+    TURN_ROWS,
+]
 
 _TURNS = "array<struct<role:string,text:string>>"
 
 
-def shape_of(schema: T.DataType) -> str:
-    """The nested field paths of a Spark type, in the notation of ``Layout.shape``."""
+def paths_of(schema: T.DataType, at: str = "") -> set[str]:
+    """The nested field paths of a Spark type that hold scalars, in the notation of ``Layout.paths``."""
     if isinstance(schema, T.StructType):
-        parts = [(f.name, shape_of(f.dataType)) for f in sorted(schema.fields, key=lambda f: f.name)]
-        return "OBJECT<" + ", ".join(f"{n}: {s}" if s else n for n, s in parts) + ">"
+        return {p for f in schema.fields for p in paths_of(f.dataType, f"{at}.{f.name}" if at else f.name)}
     if isinstance(schema, T.ArrayType):
-        return f"ARRAY<{shape_of(schema.elementType)}>"
-    return ""
+        return paths_of(schema.elementType, f"{at}[]")
+    return {at}
+
+
+def layout_of(paths: set[str], layouts: list[Layout] = LAYOUTS) -> Layout | None:
+    """The mapping for a table with these field paths, by the same hashes as for records."""
+    found = [x for x in layouts if hashed(p for p in x.paths if p in paths) == x.fingerprint]
+    return max(found, key=lambda x: len(x.paths), default=None)
+
+
+def _elements(v: Column, array: str) -> Column:
+    return F.try_variant_get(v, f"$.{array}", "array<variant>")
+
+
+def _has(v: Column, path: str) -> Column:
+    """Has the record this path?  Null values count; of an array, any element may have it."""
+    if "[]." not in path:
+        return F.try_variant_get(v, f"$.{path}", "variant").isNotNull()
+    array, name = path.split("[].")
+    return F.exists(_elements(v, array), lambda e: F.try_variant_get(e, f"$.{name}", "variant").isNotNull())
 
 
-def record_fingerprint(record: Column) -> Column:
-    """Hash of a JSON record's nested field paths; null for what isn't JSON."""
-    text = F.schema_of_variant(F.try_parse_json(record))
-    scalar = r": (STRING|VOID|BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL\([0-9]+,[0-9]+\)|DATE|TIMESTAMP\w*|BINARY|INT|SMALLINT|TINYINT)"
-    return F.substring(F.sha2(F.encode(F.regexp_replace(text, scalar, ""), "UTF-8"), 256), 1, 16)
+def record_fingerprint(v: Column, layout: Layout) -> Column:
+    """Hash of those of a layout's field paths that a record, a variant, has."""
+    held = F.concat_ws(", ", *[F.when(_has(v, p), F.lit(p)) for p in layout.paths])
+    return F.substring(F.sha2(F.encode(held, "UTF-8"), 256), 1, 16)
 
 
 def _turns(v: Column, layout: Layout) -> Column:
+    pairs = [(F.lit(role), name) for role, name in layout.pairs]
+    made = [F.struct(role.alias("role"), F.try_variant_get(v, f"$.{name}", "string").alias("text")) for role, name in pairs]
+    turns = F.filter(F.array(*made).cast(_TURNS), lambda t: t["text"].isNotNull() & (t["text"] != ""))
+    if layout.row:
+        return F.array(F.struct(F.try_variant_get(v, "$.role", "string").alias("role"), F.try_variant_get(v, "$.text", "string").alias("text"))).cast(_TURNS)
     if layout.many:
         array, role, text = layout.many
-        rows = F.variant_get(v, f"$.{array}", f"array<struct<`{role}`:string,`{text}`:string>>")
         renamed = F.create_map(*[F.lit(x) for pair in layout.rename.items() for x in pair])
-        return F.transform(rows, lambda t: F.struct(F.coalesce(renamed[t[role]], t[role]).alias("role"), t[text].alias("text")))
-    made = [F.struct(F.lit(role).alias("role"), F.variant_get(v, f"$.{name}", "string").alias("text")) for role, name in layout.pairs]
-    return F.filter(F.array(*made), lambda t: t["text"].isNotNull() & (t["text"] != ""))
+        said = F.transform(_elements(v, array), lambda e: F.struct(F.try_variant_get(e, f"$.{role}", "string").alias("role"), F.try_variant_get(e, f"$.{text}", "string").alias("text")))
+        turns = F.concat(turns, F.transform(said, lambda t: F.struct(F.coalesce(renamed[t["role"]], t["role"]).alias("role"), t["text"].alias("text"))).cast(_TURNS))
+    return turns
 
 
 def records_to_turns(records: DataFrame, record: str = "record", layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """``records`` with ``layout``, ``chunk`` (0) and ``turns`` from a column of JSON text.
 
     Records of no known layout, and null or broken JSON, stay: layout ``unknown``,
-    no turns.  Empty fields of prompt and instruction layouts are no turns.
+    no turns.  Fields that no layout uses are no matter.  Empty fields of prompt and
+    instruction layouts are no turns.
     """
-    fp, v = record_fingerprint(F.col(record)), F.try_parse_json(F.col(record))
-    out = records.withColumn("__fp", fp).withColumn("__v", v)
+    out = records.withColumn("__v", F.try_parse_json(F.col(record)))
     name, turns = F.lit("unknown"), F.array().cast(_TURNS)
-    for x in layouts:
-        name = F.when(F.col("__fp") == x.fingerprint, x.name).otherwise(name)
-        turns = F.when(F.col("__fp") == x.fingerprint, _turns(F.col("__v"), x).cast(_TURNS)).otherwise(turns)
-    return out.withColumn("layout", name).withColumn("chunk", F.lit(0).cast("bigint")).withColumn("turns", F.coalesce(turns, F.array().cast(_TURNS))).drop("__fp", "__v")
+    for x in sorted(reversed(layouts), key=lambda x: len(x.paths)):  # the last that fits is tried first
+        fits = record_fingerprint(F.col("__v"), x) == x.fingerprint
+        name = F.when(fits, x.name).otherwise(name)
+        turns = F.when(fits, _turns(F.col("__v"), x)).otherwise(turns)
+    return out.withColumn("layout", name).withColumn("chunk", F.lit(0).cast("bigint")).withColumn("turns", F.coalesce(turns, F.array().cast(_TURNS))).drop("__v")
 
 
 def rows_to_turns(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -113,13 +149,13 @@ def rows_to_turns(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ``chunk`` consecutive numbers of a conversation, so a conversation with very
     many turns is spread over tasks.
     """
-    if shape_of(rows.select("conv_id", "role", "text", "turn").schema) != TURN_ROWS:
+    if layout_of(paths_of(rows.schema), [TURN_ROWS]) is None:
         raise ValueError("turn rows need the scalar columns conv_id, turn, role and text")
     part = F.floor(F.col("turn") / chunk).cast("bigint").alias("chunk")
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     held = rows.groupBy("conv_id", part).agg(F.sort_array(F.collect_list(turn)).alias("t"))
     turns = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return held.select("conv_id", F.lit("turn_rows").alias("layout"), "chunk", turns.alias("turns"))
+    return held.select("conv_id", F.lit(TURN_ROWS.name).alias("layout"), "chunk", turns.alias("turns"))
 
 
 def to_turns(table: DataFrame, record: str = "record") -> DataFrame:
@@ -128,7 +164,7 @@ def to_turns(table: DataFrame, record: str = "record") -> DataFrame:
     One row per turn; or a column of JSON records; or records in columns, whose own
     field paths choose the mapping.  Extra columns are kept in the second case.
     """
-    if {"conv_id", "role", "text", "turn"} <= set(table.columns):
+    if layout_of(paths_of(table.schema)) is TURN_ROWS:
         return rows_to_turns(table)
     if record in table.columns:
         return records_to_turns(table, record)

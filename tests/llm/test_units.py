@@ -86,6 +86,23 @@ def test_layouts(spark):
     assert [(r.layout, [tuple(t) for t in r.turns]) for r in chat.to_turns(table).collect()] == [("prompt_response", qa)]
 
 
+def test_additional_fields_lose_no_turns(spark):
+    qa = [("user", "q"), ("assistant", "a")]
+    said = [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a"}]
+    records = [
+        {"id": 1, "messages": said}, {"id": 1, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a", "score": 1}]}, {"prompt": "q", "response": "a", "meta": {"x": [1]}},
+        {"system": "s", "messages": said, "prompt": "p"}, {"instruction": "q", "input": "", "output": "a", "system": "s", "id": 2}, {"conv_id": 1, "turn": 0, "role": "user", "text": "q", "id": 3}, {"messages": [1, *said]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(records)], "id int, record string")
+    got = {r.id: (r.layout, [tuple(t) for t in r.turns]) for r in chat.to_turns(df).collect()}
+    system = [("system", "s"), *qa]
+    assert got == {0: ("messages", qa), 1: ("conversations", qa), 2: ("prompt_response", qa), 3: ("system_messages", system), 4: ("system_instruction_input", system), 5: ("turn_rows", qa[:1]), 6: ("messages", [(None, None), *qa])}
+    table = spark.createDataFrame([(1, "q", "a", "x")], "id int, prompt string, response string, extra string")
+    assert [(r.layout, [tuple(t) for t in r.turns]) for r in chat.to_turns(table).collect()] == [("prompt_response", qa)]
+    rows = spark.createDataFrame([(1, 0, "user", "q", "x")], "conv_id int, turn int, role string, text string, extra string")
+    assert chat.layout_of(chat.paths_of(rows.schema)) is chat.TURN_ROWS and chat.to_turns(rows).first().layout == "turn_rows"
+
+
 def test_template_is_reversible(spark):
     r = random.Random(3)
     bits = [*chat.CONTROL, *(c[:1] + "\\" + c[1:] for c in chat.CONTROL), "\\", "<", "[", "|", ">", "s>", "INST]", "a", "\n", "é🙂", "$1"]
