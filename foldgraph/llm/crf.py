@@ -226,6 +226,7 @@ def _forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray)
     em = np.exp(scores - scores.max(1, keepdims=True))
     per_text = -(-counts // BLOCK)
     first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    em[first[counts > 0]] /= a.sum(0)  # every step below begins with a move; a text's first word has none
     text = np.repeat(np.arange(len(counts)), per_text)
     rank = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     begin = first[text] + rank * BLOCK
