@@ -168,7 +168,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.has_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         any_split, plain_split = regex.compile(pattern).findall, _BYTE_LEVEL_PLAIN.findall
         self.split = (lambda t: any_split(t) if _NOT_PLAIN.search(t) else plain_split(t)) if pattern == _BYTE_LEVEL else any_split
         self.memo, self.most = {}, memo
@@ -196,9 +197,13 @@ class WordEncoder:
     def encode_all(self, texts: list[str | None], chars: int = 1 << 20) -> Iterator[bytes]:
         """The ids of each text; words that are new to the memo are learned about ``chars`` of text at a time."""
         held: list[list[str]] = []
+        whole: dict[int, str] = {}
         size = 0
         for k, text in enumerate(texts):
-            held.append(self.split(text or ""))
+            added = self.has_added(text or "")
+            if added:
+                whole[len(held)] = text
+            held.append([] if added else self.split(text or ""))
             size += len(text or "")
             if size >= chars or k == len(texts) - 1:
                 if new := set().union(*held).difference(self.memo):
@@ -207,9 +212,12 @@ class WordEncoder:
                         new = set().union(*held)
                     self._learn(list(new))
                 memo = self.memo
-                for words in held:
-                    yield b"".join([memo[w] for w in words])
-                held, size = [], 0
+                for i, words in enumerate(held):
+                    yield self._packed(whole[i]) if i in whole else b"".join([memo[w] for w in words])
+                held, whole, size = [], {}, 0
+
+    def _packed(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))

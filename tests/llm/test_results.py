@@ -127,7 +127,6 @@ def test_sql(spark, name):
 
 def test_token_query(spark, texts):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     start, want = 0, {}
     for k in sorted(texts):
         ids = [*tok.encode(texts[k] or "", add_special_tokens=False).ids, 0]

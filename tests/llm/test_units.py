@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from foldgraph.llm import bpe, chat, common, exact_dedup, quality, token_store
-from foldgraph.llm.crf import Crf, words_of
+from foldgraph.llm.crf import Crf, _forward_backward, words_of
 from foldgraph.llm.html_tree import visible_text
 from foldgraph.llm.pii_spans import SemiCrf, all_spans, base_spans, brute_force, practice_lines
 
@@ -218,3 +218,47 @@ def test_sites_shrink(spark):
     assert 0.05 < got["bad", "b"].path_rate < 0.9 and 0.1 < got["new", "a"].host_rate < got["new", "a"].base
     same = quality.site_posteriors(spark.createDataFrame([(f"h{i % 5}", "a", 0.8 if i % 7 else 0.3) for i in range(700)], "host string, path string, p double")).collect()
     assert max(abs(r.path_rate - r.base) for r in same) < 0.02  # no spread between sites: nobody overrules the prior
+
+
+def test_added_tokens_in_texts():
+    """The library as it comes: an added token inside a text is that token, wherever it stands."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, own = Tokenizer.from_file(path), token_store.WordEncoder(path, public_tokenizers.PATTERN)
+    mark = sorted(t.content for t in lib.get_added_tokens_decoder().values())[0]
+    texts = [f"a {mark} b", mark, mark * 3, f"x{mark}y", mark[:-1], f"{mark[:-1]} {mark[-1]}", "plain words only", None, "", f" {mark}\n"]
+    assert [list(memoryview(x).cast("I")) for x in own.encode_all(texts)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert lib.token_to_id(mark) in memoryview(own.encode(texts[0])).cast("I")
+
+
+def labelings(size, n):
+    return np.stack(np.meshgrid(*[range(size)] * n, indexing="ij"), -1).reshape(-1, n)
+
+
+def test_posteriors_by_enumeration():
+    """All labelings of short texts, several texts at once; long texts against a plain pass."""
+    r = np.random.default_rng(4)
+    moves = r.normal(size=(3, 3))
+    counts = np.array([1, 2, 0, 3, 4, 5, 6, 1])
+    scores = r.normal(size=(counts.sum(), 3)) * 2
+    got = np.split(_forward_backward(scores, counts, moves), np.cumsum(counts)[:-1])
+    for e, g in zip(np.split(scores, np.cumsum(counts)[:-1]), got, strict=True):
+        if len(e):
+            ways = labelings(3, len(e))
+            weight = np.exp(sum(e[i, ways[:, i]] for i in range(len(e))) + sum(moves[ways[:, i], ways[:, i + 1]] for i in range(len(e) - 1)))
+            own = np.array([[weight[ways[:, i] == k].sum() for k in range(3)] for i in range(len(e))]) / weight.sum()
+            assert np.abs(own - g).max() < 1e-9
+    counts = np.array([200, 1, 33, 32, 31, 64])
+    scores = r.normal(size=(counts.sum(), 3))
+    got = np.split(_forward_backward(scores, counts, moves), np.cumsum(counts)[:-1])
+    for e, g in zip(np.split(scores, np.cumsum(counts)[:-1]), got, strict=True):
+        a, b = [np.exp(e[0])], [np.ones(3)]
+        for x in e[1:]:
+            v = (a[-1] @ np.exp(moves)) * np.exp(x)
+            a.append(v / v.sum())
+        for x in e[:0:-1]:
+            v = np.exp(moves) @ (b[-1] * np.exp(x))
+            b.append(v / v.sum())
+        own = np.array(a) * np.array(b[::-1])
+        assert np.abs(own / own.sum(1, keepdims=True) - g).max() < 1e-9
