@@ -9,7 +9,9 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from operator import add
 
+#: Kinds with a pattern; kinds of the model, which also finds keys and tokens that open something.
 KINDS = ["email", "ip", "card", "phone"]
+MODEL_KINDS = [*KINDS, "secret"]
 Span = tuple[int, int, str]  # first code point, end, kind
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -18,6 +20,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # no match can begin ins
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
+_HEX = frozenset("0123456789abcdef")
 
 
 def luhn(digits: str) -> bool:
@@ -59,13 +62,20 @@ def base_spans(text: str) -> list[Span]:
 
 
 def ordered(spans: list[Span]) -> list[Span]:
-    return sorted(set(spans), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return sorted(set(spans), key=lambda s: (s[0], MODEL_KINDS.index(s[2]), s[1]))
 
 
 # ---------------------------------------------------------------- regions and segments
 
 _ANCHOR = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.S)
+#: A long run of letters and digits is one token, as keys are.
+LONG_RUN = 16
+_TOKEN = re.compile(r"[A-Za-z0-9]{%d,}|[A-Za-z]+|[0-9]+|\s|." % LONG_RUN, re.S)
+#: Words that name a secret, just before it; how issued keys begin.
+_NAMES = r"(?i:token|secret|passw(?:or)?d|pwd|credential|bearer|auth(?:orization)?|(?:api|access|private|secret)[ _-]?key)"
+_KEYED = re.compile(_NAMES + r"[\"']?\s{0,2}[:=]{0,2}\s{0,2}[\"']?$")
+_UNSURE = re.compile(_NAMES + r"[^A-Za-z0-9]{0,6}[A-Za-z0-9_+/-]{12,}")
+_ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "glpa", "xoxb", "AIza", "sk_l")
 #: Tokens and code points of the longest candidate segment.
 MAX_TOKENS, MAX_CHARS = 20, 64
 #: Entries of a model's memo of segments' own scores, after which it starts afresh.
@@ -95,6 +105,14 @@ def _class(c: str) -> str:
     return "digit" if c.isdigit() else "letter" if c.isalpha() else "space" if c.isspace() else c
 
 
+def _run(s: str) -> str:
+    """Of one long run of letters and digits: its length by eights, hexadecimal or not, and how often it changes between them."""
+    if len(s) < LONG_RUN or not (s.isascii() and s.replace("_", "").replace("-", "").isalnum()):
+        return ""
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))
+    return f"{len(s) // 8}{set(s.lower()) <= _HEX}{min(changes * 8 // len(s), 4)}"
+
+
 @lru_cache(maxsize=20_000)
 def _inner(s: str) -> tuple[str, ...]:
     digits = _DIGITS.sub("", s)
@@ -106,6 +124,7 @@ def _inner(s: str) -> tuple[str, ...]:
     return (
         f"n{min(n, 20)}", f"a{letters}", f"m{marks[:8]}", f"f{_class(s[0])}", f"l{_class(s[-1])}", f"s{shape}", f"@{s.count('@')}", f".{min(s.count('.'), 5)}",
         f"L{13 <= n <= 19 and not letters and luhn(digits)}", f"4{len(ip) == 4 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in ip)}",
+        f"K{s[:4] if s[:4] in _ISSUED else ''}", f"R{_run(s)}",
         f"D{bool(left) and set(left) <= _LOCAL and bool(_DOMAIN.fullmatch(right))}", f"P{s[0] == '+' and not letters}{10 <= n <= 15}", f"B{s.count('(') == s.count(')')}",
     )
 
@@ -120,7 +139,8 @@ def _outer(text: str, a: int, b: int) -> list[str]:
     after = _class(text[b]) if b < len(text) else "edge"
     touch = f"t{before in ('digit', 'letter')}{after in ('digit', 'letter')}"
     follow = _class(text[b + 1]) if b + 1 < len(text) else "edge"
-    return [touch, f"b{before}", f"e{after}{follow if after in '.-, ' or after == 'space' else ''}", "1"]
+    keyed = b - a >= 12 and bool(_KEYED.search(text, max(0, a - 24), a))
+    return [touch, f"k{keyed}", f"b{before}", f"e{after}{follow if after in '.-, ' or after == 'space' else ''}", "1"]
 
 
 def _cuts(text: str, a: int, b: int) -> list[int]:
@@ -147,10 +167,11 @@ class SemiCrf:
                 if cuts[j] - cuts[i] > MAX_CHARS:
                     break
                 last = text[cuts[j] - 1]
+                long_run = cuts[j] - cuts[j - 1] >= LONG_RUN and not text[cuts[j - 1] : cuts[j]].isalpha()
                 at += last == "@"
                 if at > 1:
                     break
-                held = held or last == "@" or last.isdigit()
+                held = held or last == "@" or last.isdigit() or long_run
                 if held and last.isalnum() and cuts[j] - cuts[i] >= 7:
                     yield i, j
 
@@ -164,7 +185,7 @@ class SemiCrf:
 
     def scores(self, features: Iterable[str]) -> list[float]:
         get = self.weights.get
-        return [sum([get((k, f), 0.0) for f in features]) for k in KINDS]
+        return [sum([get((k, f), 0.0) for f in features]) for k in MODEL_KINDS]
 
     def decode(self, text: str, a: int, b: int) -> list[Span]:
         """The best segmentation of a region: boundaries and kinds chosen together."""
@@ -173,7 +194,7 @@ class SemiCrf:
         for i, j in self._segments(text, cuts):
             own = self._inside(text[cuts[i] : cuts[j]])
             both = map(add, own, self.scores(_outer(text, cuts[i], cuts[j])))
-            best, kind = max(zip(both, KINDS, strict=True), key=lambda x: x[0])
+            best, kind = max(zip(both, MODEL_KINDS, strict=True), key=lambda x: x[0])
             if best > 0:
                 by_end.setdefault(j, []).append((i, best, kind))
         best, back = [0.0] * len(cuts), [None] * len(cuts)
@@ -226,7 +247,7 @@ class SemiCrf:
                 whole = backward[0]
                 for k, (i, j, f) in enumerate(segments):
                     outside = math.exp(scale[i] + backward[j] - whole)
-                    for kind, v in zip(KINDS, values[k], strict=True):
+                    for kind, v in zip(MODEL_KINDS, values[k], strict=True):
                         g = outside * v - ((i, j, kind) in truth)
                         if abs(g) > 1e-4:
                             for name in f:
@@ -250,6 +271,11 @@ def practice_lines(seed: int = 11, n: int = 60) -> list[tuple[str, list[Span]]]:
         sep = r.choice(["", "", " ", "-"])
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
+    run = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    hexa, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: r.choice([run(32, hexa), run(40, hexa), run(40, hexa.upper()), run(64, hexa), run(24, mixed), run(36, mixed)])
+    names = ["token", "TOKEN", "api_key", "secret", "password", "access_token", "API-KEY", "client_secret"]
+    named = lambda: r.choice(names) + r.choice([' = "', '="', ": ", "=", ' : "', ": '"])
     forms = {
         "email": [lambda: f"{word()}.{digits(2)}@{word()}{digits(1)}.{word()}.com", lambda: f"{word()}@{word()}.org", lambda: f"{word()}_{word()}@{word()}-{word()}.co"],
         "ip": [lambda: ".".join(str(r.randint(0, 255)) for _ in range(4))],
@@ -264,6 +290,13 @@ def practice_lines(seed: int = 11, n: int = 60) -> list[tuple[str, list[Span]]]:
             for make in makers:
                 head, body = f"{word()} {word()} ", make()
                 out.append((head + body + r.choice([" ", ". ", ", ", "\n"]) + word(), [(len(head), len(head) + len(body), kind)]))
+        for head, body in ((named(), key()), (named(), key()), ("Authorization: Bearer ", key()), (f"{word()} ", "AKIA" + run(16, hexa.upper()[:10] + "QRSTUVWXYZ"))):
+            lead = f"{word()} {head}"
+            quote = head[-1] if head[-1] in "\"'" else ""
+            out.append((lead + body + quote + r.choice([" ", ". ", ", ", "\n"]) + word(), [(len(lead), len(lead) + len(body), "secret")]))
+        for make in (lambda: f"commit {run(40, hexa)}", lambda: f"sha256:{run(64, hexa)}", lambda: f"id={run(32, hexa)}", lambda: f"{run(32, hexa)}", lambda: f"tokens {digits(8)}", lambda: f"key = {word()}{digits(2)}", lambda: f"{word()}/{run(24, mixed)}"):
+            body = f"{word()} {make()} {word()}"
+            out.append((body, base_spans(body)))
         for make in alike:
             body = f"{word()} {make()} {word()}"
             out.append((body, [s for s in base_spans(body)]))
@@ -286,16 +319,10 @@ def all_spans(model: SemiCrf, text: str | None) -> tuple[list[Span], list[Span]]
     return base, ordered(base + added)
 
 
-def written_spans(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+def may_hold_secret(line: str) -> bool:
+    """Could a line hold a secret, so that its pattern spans are not all of its truth?"""
+    return bool(_UNSURE.search(line))
 
 
-def brute_force(text: str) -> list[Span]:
-    """The base spans by the four patterns as they are stated, for tests."""
-    out = []
-    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
-        for m in re.finditer(pattern, text):
-            d = re.sub("[^0-9]", "", m[0])
-            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d or "1"), "phone": 10 <= len(d) <= 15}[kind]:
-                out.append((m.start(), m.end(), kind))
-    return ordered(out)
+def written_spans(spans: list[Span]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)

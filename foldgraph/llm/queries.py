@@ -80,7 +80,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.with_spans(docs, pii.train(docs))
     line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return out.select("doc_id", count("email"), count("ip"), count("card"), count("phone"), _sha(line("pii.base")).alias("base_sha256"), line("pii.spans").alias("spans"))
+    return out.select("doc_id", count("email"), count("ip"), count("card"), count("phone"), _sha(line("pii.base")).alias("base_sha256"), line("pii.spans").alias("spans"), F.size("pii.spans").cast("bigint").alias("n_spans"))
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:

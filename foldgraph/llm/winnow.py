@@ -193,17 +193,3 @@ def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
-
-
-def brute_force(text: str | None, items: list[tuple[str, str]], span: int = SPAN) -> tuple[int, int, list[str]]:
-    """``(n_words, n_hit, items found)`` from the definition alone, for tests."""
-    words, hit, names = WORD.findall(as_bytes(text)), set(), set()
-    for name, t in items:
-        item = WORD.findall(as_bytes(t))
-        size = min(span, len(item))
-        for s in range(len(words) - size + 1 if size else 0):
-            if any(words[s : s + size] == item[q : q + size] for q in range(len(item) - size + 1)):
-                hit.update(range(s, s + size))
-                names.add(name)
-    return len(words), len(hit), sorted(names)
-
