@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 OPEN, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Strings that a text must not bring into the output: our own and those of common templates.
 CONTROL = [OPEN, SEP, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -132,13 +134,14 @@ def records_to_turns(records: DataFrame, record: str = "record", layouts: list[L
     no turns.  Fields that no layout uses are no matter.  Empty fields of prompt and
     instruction layouts are no turns.
     """
-    out = records.withColumn("__v", F.try_parse_json(F.col(record)))
+    v = unused(records, "__v")[0]
+    out = records.withColumn(v, F.try_parse_json(F.col(record)))
     name, turns = F.lit("unknown"), F.array().cast(_TURNS)
     for x in sorted(reversed(layouts), key=lambda x: len(x.paths)):  # the last that fits is tried first
-        fits = record_fingerprint(F.col("__v"), x) == x.fingerprint
+        fits = record_fingerprint(F.col(v), x) == x.fingerprint
         name = F.when(fits, x.name).otherwise(name)
-        turns = F.when(fits, _turns(F.col("__v"), x)).otherwise(turns)
-    return out.withColumn("layout", name).withColumn("chunk", F.lit(0).cast("bigint")).withColumn("turns", F.coalesce(turns, F.array().cast(_TURNS))).drop("__v")
+        turns = F.when(fits, _turns(F.col(v), x)).otherwise(turns)
+    return out.withColumn("layout", name).withColumn("chunk", F.lit(0).cast("bigint")).withColumn("turns", F.coalesce(turns, F.array().cast(_TURNS))).drop(v)
 
 
 def rows_to_turns(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -186,18 +189,19 @@ def formatted(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     ``loss_mask``: the runs ``[first, end)`` of code points of ``formatted`` that hold
     the text of a turn whose role is ``trained``, in order.
     """
+    own, ends = unused(turns, "__parts", "__ends")
     parts = F.transform("turns", lambda t: F.struct(
         F.concat(F.lit(OPEN), escaped(F.coalesce(t["role"], F.lit(""))), F.lit(SEP)).alias("head"),
         escaped(F.coalesce(t["text"], F.lit(""))).alias("body"), F.coalesce(t["role"] == trained, F.lit(False)).alias("loss")))
-    out = turns.withColumn("__parts", parts)
-    size = F.transform("__parts", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END))
-    out = out.withColumn("__ends", size)
-    begin = lambda i: F.aggregate(F.slice("__ends", F.lit(1), i), F.lit(0), lambda a, x: a + x)
-    runs = F.transform("__parts", lambda p, i: F.struct(
+    out = turns.withColumn(own, parts)
+    size = F.transform(own, lambda p: F.length(p["head"]) + F.length(p["body"]) + len(END))
+    out = out.withColumn(ends, size)
+    begin = lambda i: F.aggregate(F.slice(ends, F.lit(1), i), F.lit(0), lambda a, x: a + x)
+    runs = F.transform(own, lambda p, i: F.struct(
         (begin(i) + F.length(p["head"])).alias("first"), (begin(i) + F.length(p["head"]) + F.length(p["body"])).alias("end"), p["loss"].alias("loss")))
     mask = F.transform(F.filter(runs, lambda r: r["loss"]), lambda r: F.struct(r["first"].alias("first"), r["end"].alias("end")))
-    text = F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return out.withColumn("formatted", text).withColumn("loss_mask", mask).drop("turns", "__parts", "__ends")
+    text = F.array_join(F.transform(own, lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
+    return out.withColumn("formatted", text).withColumn("loss_mask", mask).drop("turns", own, ends)
 
 
 def read_turns(text: Column) -> Column:

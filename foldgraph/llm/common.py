@@ -61,13 +61,21 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-#: Column that ``numbered`` adds.
-ROW = "__row_number"
-
-
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a distinct BIGINT for each row in ``ROW``, written, so that every read gives the same numbers."""
-    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)[0]
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of ``df`` has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` with a distinct BIGINT for each row, written, so that every read gives the same numbers; and that column's name."""
+    row = unused(df, "__row_number")[0]
+    return written(df.withColumn(row, F.monotonically_increasing_id()), name)[0], row
 
 
 def remove(spark: SparkSession, path: str) -> None:

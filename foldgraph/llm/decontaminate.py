@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, unused
 from .winnow import K, SPAN, ItemIndex, united
 
 #: Bytes of item texts in one block.  A block is the only thing broadcast; a
@@ -86,5 +86,5 @@ def is_contaminated(column: str) -> Column:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    out = "__contamination"
+    out = unused(docs, "__contamination")[0]
     return with_hits(docs, benchmark, out, **options).where(~is_contaminated(out)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,10 +14,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, written
+from .common import numbered, written
 
 #: Least and most buckets of a new index, and rows of its first batch to a bucket.  Fixed when the index is made.
-BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 16, 1 << 16, 4_000_000
+BUCKETS, MOST_BUCKETS, BUCKET_rowS = 16, 1 << 16, 4_000_000
 
 _WHITE = r"[\x20\x09-\x0D]+"
 
@@ -33,7 +33,7 @@ def digest(text: Column) -> Column:
 
 def buckets_for(rows: int) -> int:
     """A power of two, so that a bucket of an index made for ``rows`` is sorted by one task."""
-    return min(MOST_BUCKETS, max(BUCKETS, 1 << (max(1, -(-rows // BUCKET_ROWS)) - 1).bit_length()))
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << (max(1, -(-rows // BUCKET_rowS)) - 1).bit_length()))
 
 
 class DigestIndex:
@@ -95,8 +95,8 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None, text: str = "t
     both key and text stay together, or with ``repeats=False`` one of them does, so
     that exactly one row of each text is left.
     """
-    rows = numbered(docs, "exact-rows")
-    found, _ = written(deduplicate(rows, index, text, key, (ROW,)).where("kept"), "exact")
-    one = found.groupBy("text_sha256").agg(F.min(ROW).alias(ROW)).select(ROW)
-    stay = one.union(found.where(F.col(key).isNotNull()).select(ROW)) if repeats else one
-    return rows.join(stay, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, row = numbered(docs, "exact-rows")
+    found, _ = written(deduplicate(rows, index, text, key, (row,)).where("kept"), "exact")
+    one = found.groupBy("text_sha256").agg(F.min(row).alias(row)).select(row)
+    stay = one.union(found.where(F.col(key).isNotNull()).select(row)) if repeats else one
+    return rows.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, smallest_hashes
+from .common import small_batches, smallest_hashes, unused
 from .crf import Crf
 
 #: Most training documents of each language (the smallest hashes of their keys).
@@ -61,14 +61,16 @@ def predicted(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
 
     ``score`` is the mean, over all words, of the posterior of the predicted
     language.  Texts that are null or have no letters: ``und``, 0.
+    Columns named ``lang_pred`` and ``score`` are replaced.
     """
 
     def each(model: Crf, texts: list) -> pa.Array:
         found = model.document_labels(texts)
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang_pred", "score"])
 
-    x = _apply(docs, crf, "struct<lang_pred:string,score:double>", text, each)
-    return docs.withColumn("__x", x).withColumn("lang_pred", F.col("__x.lang_pred")).withColumn("score", F.col("__x.score")).drop("__x")
+    own = unused(docs, "__found")[0]
+    out = docs.withColumn(own, _apply(docs, crf, "struct<lang_pred:string,score:double>", text, each))
+    return out.withColumn("lang_pred", F.col(f"{own}.lang_pred")).withColumn("score", F.col(f"{own}.score")).drop(own)
 
 
 def labelled_words(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:

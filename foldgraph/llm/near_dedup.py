@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, small_batches, written
+from .common import numbered, small_batches, written
 from .components import connected_components
 from .shingles import simhash
 
@@ -124,10 +124,10 @@ def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id
     repeat its smallest key stay together, or with ``repeats=False`` one of them
     does, so that exactly one row of each group is left.
     """
-    rows = numbered(docs, "near-rows")
-    rank = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col(ROW).alias("row"))
+    rows, row = numbered(docs, "near-rows")
+    rank = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col(row).alias("row"))
     found, _ = written(near_duplicates(rows.select(rank.alias("rank"), F.col(text).alias("t")), "t", "rank", **options), "near-duplicates")
     first = F.col("rank.row") == F.col("component_id.row")
     if repeats:
         first = first | (F.col("rank.key") == F.col("component_id.key"))
-    return rows.join(found.where(first).select(F.col("rank.row").alias(ROW)), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(found.where(first).select(F.col("rank.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

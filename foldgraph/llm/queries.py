@@ -18,7 +18,7 @@ def _sha(text: Column) -> Column:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    out = quality.judged(docs, table(spark, sf_dir, "labels"))
+    out = quality.judged(docs, table(spark, sf_dir, "labels"), drop=("text",))
     return out.select("doc_id", "source", "lang", "q_evidence", "q_host_rate", "q_path_rate", "q_score", "q_keep")
 
 

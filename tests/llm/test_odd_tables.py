@@ -15,7 +15,7 @@ LONG = "word " * 30_000 + "x" * 50_000
 ROWS = [(1, "the cat sat on the mat", "en", "a", 22), (1, "the cat sat on the mat", "en", "a", 22), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "the cat sat on  the mat", "en", "b", 23), (4, LONG, "de", "b", len(LONG)), (5, " \n\t", None, "b", 3), (6, "ñandú 漢字 🙂 é", "es", None, 9)]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that the operators use inside.
-CLASH = ["id", "t", "k", "fp", "q_keep", "kept", "digest", "keep_id", "component_id", "gone_key", "contamination", "host", "path", "n_words", "ids", "score", "pii", "root", "rep", "label"]
+CLASH = ["id", "t", "k", "fp", "q_keep", "kept", "digest", "keep_id", "component_id", "gone_key", "contamination", "host", "path", "n_words", "ids", "score", "pii", "root", "rep", "label", "__row_number", "__contamination", "__found", "__quality_keep", "__v", "__h", "__p", "__b", "__x", "row", "site", "e", "at", "n", "salt"]
 
 
 @pytest.fixture(params=["plain", "clash", "empty"])

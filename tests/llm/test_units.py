@@ -334,3 +334,38 @@ def test_fit_follows_the_likelihood():
         now = likelihood(model)
         assert now > before
         before = now
+
+
+def plain_strength(groups, centres):
+    """Mean rate and prior strength of groups of probabilities, by the method of moments."""
+    n, g = sum(map(len, groups)), len(groups)
+    rates = [np.mean(x) for x in groups]
+    mean = min(max(sum(map(sum, groups)) / n, 1e-4), 1 - 1e-4)
+    centres = [sum(map(sum, groups)) / n] * g if centres is None else centres
+    between = sum(len(x) * (r - c) ** 2 for x, r, c in zip(groups, rates, centres, strict=True))
+    within = sum(((np.array(x) - r) ** 2).sum() for x, r in zip(groups, rates, strict=True)) / max(n - g, 1)
+    spread = (between - max(g - 1, 0) * within) / max(n - sum(len(x) ** 2 for x in groups) / n, 1)
+    return mean, max(mean * (1 - mean) / spread - 1, 0.01) if spread > mean * (1 - mean) * 1e-6 else 1e6
+
+
+def test_site_posteriors_by_definition(spark):
+    """Rates of sites without the document itself, and scores, again in plain Python; null sites are apart from empty ones."""
+    r = random.Random(8)
+    sites = [(h, p) for h in ("a", "b", None, "", "c") for p in ("x", "y", None, "")]
+    rows = [(i, *r.choice(sites), r.choice(["", "good words here", "word " * 9, "X | Y | Z", "A!! B!!"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id int, source string, lang string, text string")
+    labels = spark.createDataFrame([(i, int("|" not in t and "!" not in t), 0) for i, _, _, t in rows if i % 2], "doc_id int, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.judged(docs, labels).collect()}
+    p = {k: 1 / (1 + np.exp(-x.q_evidence)) for k, x in got.items()}
+    hosts, paths = {}, {}
+    for i, h, q, _ in rows:
+        hosts.setdefault(h, []).append(p[i])
+        paths.setdefault((h, q), []).append(p[i])
+    base, k1 = plain_strength(list(hosts.values()), None)
+    _, k2 = plain_strength(list(paths.values()), [np.mean(hosts[h]) for h, _ in paths])
+    logit = lambda x: np.log(min(max(x, 1e-4), 1 - 1e-4) / (1 - min(max(x, 1e-4), 1 - 1e-4)))
+    for i, h, q, _ in rows:
+        host = (k1 * base + sum(hosts[h]) - p[i]) / (k1 + len(hosts[h]) - 1)
+        path = (k2 * host + sum(paths[h, q]) - p[i]) / (k2 + len(paths[h, q]) - 1)
+        score = 1 / (1 + np.exp(-(got[i].q_evidence + logit(path) - logit(base))))
+        assert np.allclose([got[i].q_host_rate, got[i].q_path_rate, got[i].q_score], [host, path, score], atol=1e-9)
