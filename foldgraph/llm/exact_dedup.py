@@ -4,7 +4,11 @@ The index is a table bucketed and sorted by digest.  A batch is first reduced to
 one row per digest (partial aggregation, so a digest that a third of the rows
 share is combined before the shuffle), then anti-joined with the index by a
 sort-merge join that reads the index bucket by bucket without moving it, and what
-is new is appended to the same buckets.
+is new is appended to the same buckets.  A table is taken in by batches of
+ascending keys, so the first batch that has a text also has its smallest key.
+
+An append that is run again, or a second writer, may store a digest twice; rows
+carry the number of their batch, and the row of the earliest one counts.
 """
 
 from __future__ import annotations
@@ -13,9 +17,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import numbered, written
 
+#: Batches that a table is taken in by; batches after which an index is rewritten with one file a bucket.
+BATCHES, COMPACT_AFTER = 2, 16
 #: Least and most buckets of a new index, and rows of its first batch to a bucket.  Fixed when the index is made.
 BUCKETS, MOST_BUCKETS, BUCKET_rowS = 16, 1 << 16, 4_000_000
 
@@ -37,35 +44,64 @@ def buckets_for(rows: int) -> int:
 
 
 class DigestIndex:
-    """A catalog table ``(digest, keep_id)``, bucketed and sorted by digest."""
+    """A catalog table ``(digest, keep_id, batch)``, bucketed and sorted by digest.
+
+    A table that is there already is opened with the buckets that it has.
+    """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = BUCKETS, id_type: str = "bigint"):
         self.spark, self.buckets, self.id_type = spark, buckets, id_type
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        if not spark.catalog.tableExists(self.name):
-            self._write(spark.createDataFrame([], f"digest string, keep_id {id_type}"))
+        if spark.catalog.tableExists(self.name):
+            about = {r.col_name: r.data_type for r in spark.sql(f"describe extended {self.name}").collect()}
+            self.buckets, self.id_type = int(about["Num Buckets"]), about["keep_id"]
+        else:
+            self._write(spark.createDataFrame([], f"digest string, keep_id {id_type}, batch bigint"), self.name)
 
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """``(digest, keep_id)``, each digest once; grouped within its bucket, without a shuffle."""
+        return self.spark.table(self.name).groupBy("digest").agg(F.min_by("keep_id", "batch").alias("keep_id"))
 
     def ingest(self, batch: DataFrame) -> None:
         """Append the digests of ``batch`` ``(id, digest)`` that the index lacks.
 
         A digest that the index has keeps its row, whatever ids the batch brings.
         """
+        number = (self.spark.table(self.name).agg(F.max("batch")).first()[0] or 0) + 1
         least = batch.groupBy("digest").agg(F.min("id").cast(self.id_type).alias("keep_id"))
-        new = least.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        new, _ = written(new, "new-digests")  # the table read above is the one appended to
-        self._write(new.repartition(self.buckets, "digest"))
+        new = least.join(self.spark.table(self.name).select("digest").hint("merge"), "digest", "left_anti")
+        new, _ = written(new.withColumn("batch", F.lit(number).cast("bigint")), "new-digests")  # the table read above is the one appended to
+        self._write(new.repartition(self.buckets, "digest"), self.name)
+        if number % COMPACT_AFTER == 0:
+            self.compact()
+
+    def compact(self) -> None:
+        """Rewrite the table with one sorted file a bucket, each digest once, and put it in the old one's place."""
+        once = self.spark.table(self.name).groupBy("digest").agg(F.min_by("keep_id", "batch").alias("keep_id"), F.min("batch").alias("batch"))
+        new, old = (f"{self.name}_{x}_{uuid.uuid4().hex}" for x in ("new", "old"))
+        self._write(once.repartition(self.buckets, "digest"), new)
+        self.spark.sql(f"alter table {self.name} rename to {old}")
+        self.spark.sql(f"alter table {new} rename to {self.name}")
+        self.spark.sql(f"drop table {old}")
 
     def drop(self) -> None:
         self.spark.sql(f"drop table if exists {self.name}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+def ascending(own: DataFrame, batches: int) -> list[DataFrame]:
+    """``own`` cut by ``id`` into about equal batches, the smallest ids first and null ones last; not cut if ids are no numbers."""
+    if batches < 2 or not isinstance(own.schema["id"].dataType, T.NumericType):
+        return [own]
+    cuts = own.select(F.percentile_approx("id", [i / batches for i in range(1, batches)])).first()[0]
+    bounds = sorted(set(cuts or []))
+    parts = [own.where((F.col("id") > a if a is not None else F.lit(True)) & (F.col("id") <= z)) for a, z in zip([None, *bounds], bounds, strict=False)]
+    return [*parts, own.where(F.col("id").isNull() | (F.col("id") > bounds[-1]))] if bounds else [own]
+
+
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = (), batches: int = BATCHES) -> DataFrame:
     """``(key, keep_id, group_size, kept, text_sha256)``, one row per row of ``docs``.
 
     Texts are equal when they are identical after each run of ASCII white space
@@ -74,15 +110,19 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, text: str = "
     ``keep_id`` names the earlier row.  ``group_size`` counts this batch's rows.
     Null texts count as empty.  Rows that repeat a key stay or go together; rows
     of null key stay only if no row with a key has their text.  Empty: empty.
-    Columns named in ``carry`` come back too.
+    Columns named in ``carry`` come back too.  Without ``index`` one is made for this
+    call and dropped when the groups are written.
     """
     spark = docs.sparkSession
     own, _ = written(docs.select(F.col(key).alias("id"), digest(F.col(text)).alias("digest"), *carry), "digests")
-    index = index or DigestIndex(spark, buckets=buckets_for(own.count()), id_type=docs.schema[key].dataType.simpleString())
-    index.ingest(own)
+    lasting, index = index, index or DigestIndex(spark, buckets=buckets_for(own.count()), id_type=docs.schema[key].dataType.simpleString())
+    for batch in ascending(own, batches):
+        index.ingest(batch)
     sizes = own.groupBy("digest").agg(F.count("*").alias("group_size"))
     # Written, so that the last join has plain shuffles on both sides and a digest that very many rows share is split.
     groups, _ = written(sizes.join(index.table().hint("merge"), "digest"), "groups")
+    if lasting is None:
+        index.drop()
     kept = F.col("id").eqNullSafe(F.col("keep_id"))
     return own.join(groups, "digest").select(F.col("id").alias(key), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), *carry)
 

@@ -74,6 +74,40 @@ def test_index_over_batches(spark):
     index.drop()
 
 
+def test_index_reopened(spark):
+    """A named index keeps its own number of buckets; digests stored twice count once, by the earlier batch; compaction changes no answer."""
+    index = exact_dedup.DigestIndex(spark, "own_index", buckets=32)
+    rows = lambda *x: spark.createDataFrame(x, "id bigint, digest string")
+    index.ingest(rows((5, "a"), (6, "b"), (7, "a")))
+    again = exact_dedup.DigestIndex(spark, "own_index")
+    assert again.buckets == 32
+    again.ingest(rows((1, "a"), (2, "c")))
+    again._write(spark.createDataFrame([("a", 1, 9), ("c", 0, 9)], "digest string, keep_id bigint, batch bigint"), "own_index")  # a second writer
+    want = {"a": 5, "b": 6, "c": 2}
+    assert {r.digest: r.keep_id for r in again.table().collect()} == want
+    again.compact()
+    assert {r.digest: r.keep_id for r in exact_dedup.DigestIndex(spark, "own_index").table().collect()} == want and spark.table("own_index").count() == 3
+    plan = again.table()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    again.drop()
+
+
+def test_query_removes_rows_by_the_index(spark, monkeypatch):
+    """The registered query takes the documents in by ascending batches, and later batches meet digests that are there."""
+    from foldgraph.llm.queries import QUERIES
+
+    seen = []
+
+    def ingest(self, batch, real=exact_dedup.DigestIndex.ingest):
+        seen.append((batch.agg(F.min("id")).first()[0], batch.select("digest").distinct().join(self.table(), "digest", "left_semi").count()))
+        real(self, batch)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "ingest", ingest)
+    QUERIES["op5_exact_dedup"](spark, "/root/testdata/sf0.01").collect()
+    assert len(seen) >= 2 and seen == sorted(seen) and seen[0][1] == 0 and all(n > 0 for _, n in seen[1:])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
+
+
 def test_layouts(spark):
     records = [
         {"prompt": "q", "response": "a"}, {"completion": "a", "prompt": "q"}, {"instruction": "q", "input": "", "output": "a"}, {"instruction": "q", "input": "i", "output": "a"},
