@@ -78,6 +78,15 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return written(df.withColumn(row, F.monotonically_increasing_id()), name)[0], row
 
 
+#: Rows of a written table of numbers up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few numbers a row, marked for broadcast if it has ``BROADCAST_ROWS`` rows at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``written`` made, by the file system that owns it."""
     jvm = spark.sparkContext._jvm

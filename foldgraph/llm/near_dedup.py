@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, small_batches, written
+from .common import few, numbered, small_batches, written
 from .components import connected_components
 from .shingles import simhash
+from .similar import similar_groups
 
 #: Distinct fingerprints in one segment bucket beyond which pairs are not formed.
 HOT = 512
@@ -115,19 +116,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return own.join(whole, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", repeats: bool = True, **options) -> DataFrame:
+def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", repeats: bool = True, width: int = 5, similarity: float | None = 0.8, **options) -> DataFrame:
     """The rows of ``docs`` that are the smallest key of their near-duplicate group.
 
-    All columns stay.  Rows whose key is null stay only if no keyed row is in
-    their group, and then one of them does.  Rows are told apart by number, not by
-    key: a row that goes takes no other row of its key along.  Rows of a group that
-    repeat its smallest key stay together, or with ``repeats=False`` one of them
-    does, so that exactly one row of each group is left.
+    Texts are linked if their sets of ``width``-word shingles have a Jaccard similarity
+    of ``similarity`` or more (see ``similar``); with ``similarity=None`` by the fingerprints
+    of ``near_duplicates`` and its ``options``.  All columns stay.  Rows whose key is null
+    stay only if no keyed row is in their group, and then one of them does.  Rows are
+    told apart by number, not by key: a row that goes takes no other row of its key
+    along.  Rows of a group that repeat its smallest key stay together, or with
+    ``repeats=False`` one of them does, so that exactly one row of each group is left.
+    Only numbers of rows that go are moved, no texts, as long as they are few.
     """
     rows, row = numbered(docs, "near-rows")
-    rank = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col(row).alias("row"))
-    found, _ = written(near_duplicates(rows.select(rank.alias("rank"), F.col(text).alias("t")), "t", "rank", **options), "near-duplicates")
-    first = F.col("rank.row") == F.col("component_id.row")
+    rank = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col(row).alias(row))
+    if similarity is None:
+        found = near_duplicates(rows.select(rank.alias("rank"), F.col(text).alias("t")), "t", "rank", width, **options).withColumnRenamed("component_id", "first")
+    else:
+        found = similar_groups(rows, row, text, rank, width, similarity)
+    goes = F.col(f"rank.{row}") != F.col(f"first.{row}")
     if repeats:
-        first = first | (F.col("rank.key") == F.col("component_id.key"))
-    return rows.join(found.where(first).select(F.col("rank.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+        goes = goes & ~F.coalesce(F.col("rank.key") == F.col("first.key"), F.lit(False))
+    gone, _ = written(found.where(goes).select(F.col(f"rank.{row}").alias(row)), "near-duplicates")
+    return rows.join(few(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

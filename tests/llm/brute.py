@@ -34,3 +34,29 @@ def contamination(text, items, span=SPAN):
                 hit.update(range(s, s + size))
                 names |= found
     return len(words), len(hit), sorted(names)
+
+
+def shingles(text, width=5):
+    """The set of word shingles of a text, words apart by ASCII white space, A-Z lower-cased."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
+
+
+def similar_components(texts, width=5, least=0.8):
+    """Smallest key reachable by links of Jaccard similarity, comparing all pairs; texts without words are alike."""
+    sets = {k: shingles(t, width) for k, t in sorted(texts.items())}
+    keys = list(sets)
+    root = {k: k for k in keys}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            x, y = sets[a], sets[b]
+            if least * len(x) <= len(y) + 1e-9 and least * len(y) <= len(x) + 1e-9 and len(x & y) >= least * len(x | y) - 1e-9:
+                u, v = find(a), find(b)
+                root[max(u, v)] = min(u, v)
+    return {k: find(k) for k in keys}

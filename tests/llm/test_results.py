@@ -15,8 +15,8 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from brute import contamination, pattern_spans
-from foldgraph.llm import bpe, near_dedup, pii_spans, quality
+from brute import contamination, pattern_spans, similar_components
+from foldgraph.llm import bpe, near_dedup, pii_spans, quality, similar
 from foldgraph.llm.queries import ORACLE, QUERIES
 from foldgraph.llm.shingles import simhash
 
@@ -81,6 +81,27 @@ def test_hot_buckets(spark, hot):
     assert {x: got.get(x, x) for x in signed} == own
 
 
+@pytest.mark.parametrize("crowd,hashes,moved", [(64, 10**9, 0.5), (8, 0, 0.0), (10**9, 0, 0.5)])
+def test_similar_texts(spark, monkeypatch, crowd, hashes, moved):
+    """Groups of copies with few and with many changes: the groups of all pairs, by buckets and by stars, verified at once and in rounds."""
+    for name, value in (("CROWD", crowd), ("SAMPLE", 1), ("BROADCAST_HASHES", hashes), ("MOVED", moved)):
+        monkeypatch.setattr(similar, name, value)
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    made = ["", " \n", None, "two words", "Two Words", "two  words more"]
+    for size, n, changes in ((120, 60, 3), (80, 25, 4), (60, 12, 1), (300, 9, 9), (12, 6, 1), (40, 40, 2)):
+        base = [word() for _ in range(size)]
+        for _ in range(n):
+            copy = list(base)
+            for _ in range(r.randrange(changes + 1)):
+                copy[r.randrange(size)] = word()
+            made.append(" ".join(copy))
+    texts = dict(enumerate(r.sample(made, len(made))))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    own = similar_components(texts)
+    assert {x.doc_id for x in near_dedup.keep_representatives(docs).collect()} == set(own.values()) and 12 < len(set(own.values())) < len(own) // 2
+
+
 def test_jvm_hash_is_ours(spark):
     from pyspark.sql import functions as F
 
@@ -183,7 +204,7 @@ def test_pipeline(spark, texts):
     for k in sorted(left):
         first.setdefault(" ".join(__import__("re").split(r"[\x20\x09-\x0D]+", left[k] or "")), k)
     left = {k: left[k] for k in first.values()}
-    own = components({k: plain_simhash(t or "") for k, t in left.items()})
+    own = similar_components(left)
     left = {k: t for k, t in left.items() if own[k] == k}
     items = [(str(i), t) for i, t in read("benchmark", "item_id, text")]
     found = {k: contamination(t, items) for k, t in left.items()}
