@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +52,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/foldgraph-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that ``written`` makes within are removed at the end, but those made with ``lasting``."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and reread it.
 
     This cuts the lineage: a lost executor costs a reread and nothing upstream.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _scratch and not lasting:
+        _scratch[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few, numbered, written
+from .common import few, numbered, scratch, written
 
 #: Batches that a table is taken in by; batches after which an index is rewritten with one file a bucket.
 BATCHES, COMPACT_AFTER = 2, 16
@@ -136,8 +136,9 @@ def keep_first(docs: DataFrame, index: DigestIndex | None = None, text: str = "t
     that exactly one row of each text is left.
     """
     rows, row = numbered(docs, "exact-rows")
-    found, _ = written(deduplicate(rows, index, text, key, (row,)), "exact")
-    one = found.where("kept").groupBy("text_sha256").agg(F.min(row).alias("first"))
     stays = (F.col(row) == F.col("first")) | ((F.col(key).isNotNull() & F.col("kept")) if repeats else F.lit(False))
-    gone, _ = written(found.join(one, "text_sha256", "left").where(~F.coalesce(stays, F.lit(False))).select(row), "exact-gone")
+    with scratch(docs.sparkSession):
+        found, _ = written(deduplicate(rows, index, text, key, (row,)), "exact")
+        one = found.where("kept").groupBy("text_sha256").agg(F.min(row).alias("first"))
+        gone, _ = written(found.join(one, "text_sha256", "left").where(~F.coalesce(stays, F.lit(False))).select(row), "exact-gone", lasting=True)
     return rows.join(few(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, numbered, small_batches, written
+from .common import few, numbered, scratch, small_batches, written
 from .components import connected_components
 from .shingles import simhash
 from .similar import similar_groups
@@ -130,12 +130,13 @@ def keep_representatives(docs: DataFrame, text: str = "text", key: str = "doc_id
     """
     rows, row = numbered(docs, "near-rows")
     rank = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.col(row).alias(row))
-    if similarity is None:
-        found = near_duplicates(rows.select(rank.alias("rank"), F.col(text).alias("t")), "t", "rank", width, **options).withColumnRenamed("component_id", "first")
-    else:
-        found = similar_groups(rows, row, text, rank, width, similarity)
     goes = F.col(f"rank.{row}") != F.col(f"first.{row}")
     if repeats:
         goes = goes & ~F.coalesce(F.col("rank.key") == F.col("first.key"), F.lit(False))
-    gone, _ = written(found.where(goes).select(F.col(f"rank.{row}").alias(row)), "near-duplicates")
+    with scratch(docs.sparkSession):
+        if similarity is None:
+            found = near_duplicates(rows.select(rank.alias("rank"), F.col(text).alias("t")), "t", "rank", width, **options).withColumnRenamed("component_id", "first")
+        else:
+            found = similar_groups(rows, row, text, rank, width, similarity)
+        gone, _ = written(found.where(goes).select(F.col(f"rank.{row}").alias(row)), "near-gone", lasting=True)
     return rows.join(few(gone), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, smallest_hashes, unused, written
+from .common import scratch, small_batches, smallest_hashes, unused, written
 
 #: Most labelled rows that the classifier is fitted on (the smallest hashes of their keys).
 TRAIN_ROWS = 20_000
@@ -231,7 +231,8 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     once, and written with its row.
     """
     small_batches(docs.sparkSession)
-    model = train(docs, labels, text, key, label, reject, rows)
+    with scratch(docs.sparkSession):
+        model = train(docs, labels, text, key, label, reject, rows)
     stay = [c for c in docs.columns if c not in drop]
     site = F.struct(F.col(host).cast("string").alias("host"), (F.col("lang") if path is None else path).cast("string").alias("path"))
     held = F.struct(*[F.col(f"`{c}`") for c in stay]) if stay else F.struct(F.lit(0))

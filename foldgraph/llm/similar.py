@@ -24,6 +24,8 @@ components at the end is verified in full, so no link between groups is lost.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,16 @@ from .shingles import bit_counts, shingle_hashes
 MISS = 0.01
 #: Bits verified in the join; standard deviations that a true pair's distance may lie above its mean.
 SKETCH, DEVIATIONS = 128, 3.5
+#: 64-bit words of the fingerprint that the entries of crowded buckets carry for verification.
+LONGS = 16
+_W = [f"w{i}" for i in range(LONGS)]
 #: Members of a bucket (about) beyond which it gives stars; one text in ``SAMPLE`` is counted to tell.
-CROWD, SAMPLE = 64, 8
+CROWD, SAMPLE = 24, 4
 #: Stars of each crowded bucket.
 STARS = 3
 #: Shingle hashes of all texts with a candidate up to which their sets are broadcast; share of all
 #: texts' shingles that one round of verification may move otherwise.
-BROADCAST_HASHES, MOVED = 2_000_000, 0.5
+BROADCAST_HASHES, MOVED = 2_000_000, 0.15
 _BLOCK = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,9 +115,14 @@ def wide_fingerprints(text: Column, width: int, tables: int, bits: int) -> Colum
 
 
 def shingle_sets(text: Column, width: int) -> Column:
-    @F.arrow_udf("array<bigint>")
+    """The sorted hashes ``h`` of a text's shingles, and ``w``, the fingerprint's next ``64 * LONGS`` bits."""
+
+    @F.arrow_udf("struct<h:array<bigint>,w:array<bigint>>")
     def f(t: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(x, width)).view(np.int64) for x in t.to_pylist()], pa.list_(pa.int64()))
+        sets = [np.unique(shingle_hashes(x, width)) for x in t.to_pylist()]
+        wide = [np.packbits(wide_simhash(h, SKETCH + 64 * LONGS)[SKETCH:], bitorder="little").view("<i8") for h in sets]
+        longs = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array([h.view(np.int64) for h in sets], longs), pa.array(wide, longs)], ["h", "w"])
 
     return f(text)
 
@@ -128,29 +138,47 @@ def _near(a: str, b: str, most: int) -> Column:
     return F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) <= most
 
 
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Can ``n`` shingles with ``q`` of their own, on both sides, be similar enough?"""
+    one = lambda x, y: F.col(f"{x}.n") - F.col(f"{x}.q") >= F.lit(similarity) * (F.col(f"{x}.n") + F.col(f"{y}.q")) - 1e-9
+    return one(a, b) & one(b, a)
+
+
+def _near_in_all(a: str, b: str, similarity: float) -> Column:
+    apart = reduce(add, [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _W])
+    return apart <= limit(64 * LONGS, flip(similarity))
+
+
+def _with_own_shingles(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """Entries with more of the fingerprint, the size ``n`` of each set and the number ``q`` of its shingles that no other text of the entries has."""
+    alone = sets.select("id", F.explode("h").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("q"))
+    own = sets.select("id", F.size("h").alias("n"), *[F.col("w")[i].alias(name) for i, name in enumerate(_W)]).join(alone, "id", "left").fillna(0, ["q"])
+    return crowded.join(own, "id")
+
+
 def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _stars(crowded: DataFrame, most: int) -> DataFrame:
+def _stars(crowded: DataFrame, most: int, similarity: float) -> DataFrame:
     """Each entry of a crowded bucket with the bucket's first text, in several orders of all texts."""
-    out = None
+    out, crowded = None, crowded.drop(*_W)
     for k in range(STARS):
-        first = crowded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("order"), "id", "s0", "s1")).alias("f")).select("bucket", "f.id", "f.s0", "f.s1")
-        met = crowded.alias("x").join(first.hint("merge").alias("y"), "bucket").where((F.col("x.id") != F.col("y.id")) & _near("x", "y", most))
+        first = crowded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("order"), "id", "s0", "s1", "n", "q")).alias("f")).select("bucket", "f.id", "f.s0", "f.s1", "f.n", "f.q")
+        met = crowded.alias("x").join(first.hint("merge").alias("y"), "bucket").where((F.col("x.id") != F.col("y.id")) & _near("x", "y", most) & _may_be_similar("x", "y", similarity))
         met = met.select(*_pair(F.col("x.id"), F.col("y.id")))
         out = met if out is None else out.union(met)
     return out.distinct()
 
 
-def _odd_ones(crowded: DataFrame, comp: DataFrame, most: int) -> DataFrame:
+def _odd_ones(crowded: DataFrame, comp: DataFrame, most: int, similarity: float) -> DataFrame:
     """Pairs of a crowded bucket in different components: the entries outside a bucket's largest component with all others."""
     own = _labelled(crowded, comp, "id", "c")
     own, _ = written(own, "crowded-components")
     sizes = own.groupBy("bucket", "c").count()
     main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "c")).alias("m")).select("bucket", F.col("m.c").alias("main"))
     odd = own.join(main, "bucket").where("c <> main").drop("main")
-    met = own.hint("merge").alias("x").join(odd.hint("merge").alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y", most))
+    met = own.hint("merge").alias("x").join(odd.hint("merge").alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y", most) & _may_be_similar("x", "y", similarity) & _near_in_all("x", "y", similarity))
     return met.select(*_pair(F.col("x.id"), F.col("y.id"))).distinct()
 
 
@@ -217,6 +245,13 @@ def _joined(pairs: DataFrame, comp: DataFrame | None, sets: DataFrame, similarit
         pairs, share = written(pairs, "candidates-left")[0], 4 * share
 
 
+def _sets(rows: DataFrame, row: str, text: str, width: int, ids: DataFrame, reps: DataFrame) -> DataFrame:
+    """``(id, h)``: the shingle sets of the texts ``ids``."""
+    members, _ = written(ids.join(reps, "id").select("id", F.col(f"rep.{row}").alias("row")), "members")
+    found = rows.select(F.col(row).alias("row"), F.col(text).alias("text")).join(few(members), "row")
+    return written(found.select("id", shingle_sets(F.col("text"), width).alias("x")).select("id", "x.h", "x.w"), "shingle-sets")[0]
+
+
 def similar_groups(rows: DataFrame, row: str, text: str, rank: Column, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(rank, first)`` for each row: its rank and the smallest rank of its group.
 
@@ -242,15 +277,15 @@ def similar_groups(rows: DataFrame, row: str, text: str, rank: Column, width: in
     pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     if any_busy:
         crowded, _ = written(entries.join(busy, "bucket", "left_semi"), "crowded-entries")
-        pairs = pairs.union(_stars(crowded, most)).distinct()
+        their_sets = _sets(rows, row, text, width, crowded.select("id").distinct(), reps)
+        crowded, _ = written(_with_own_shingles(crowded, their_sets).where(F.col("n") - F.col("q") >= F.lit(similarity) * F.col("n") - 1e-9), "crowded-sizes")
+        pairs = pairs.union(_stars(crowded, most, similarity)).distinct()
     pairs, _ = written(pairs, "met")
     pairs, _ = written(_close(pairs, reps, bits, tables, similarity), "close")
     members = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     if any_busy:
         members = members.union(crowded.select("id"))
-    members, _ = written(members.distinct().join(reps, "id").select("id", F.col(f"rep.{row}").alias("row")), "members")
-    found = rows.select(F.col(row).alias("row"), F.col(text).alias("text")).join(few(members), "row")
-    sets, _ = written(found.select("id", shingle_sets(F.col("text"), width).alias("h")), "shingle-sets")
+    sets = _sets(rows, row, text, width, members.distinct(), reps)
     size = sets.agg(F.count("*").alias("n"), F.sum(F.size("h")).alias("hashes")).first()
     at_once = math.inf
     if (size.hashes or 0) <= BROADCAST_HASHES:
@@ -260,7 +295,7 @@ def similar_groups(rows: DataFrame, row: str, text: str, rank: Column, width: in
     comp = _joined(pairs, None, sets, similarity, at_once)
     if any_busy:
         nothing = spark.createDataFrame([], "node bigint, root bigint")
-        odd, _ = written(_close(_odd_ones(crowded, nothing if comp is None else comp, most), reps, bits, tables, similarity), "odd-pairs")
+        odd, _ = written(_close(_odd_ones(crowded, nothing if comp is None else comp, most, similarity), reps, bits, tables, similarity), "odd-pairs")
         comp = _joined(odd, comp, sets, similarity, at_once)
     if comp is None:
         return own.join(reps.select("d0", "d1", "rep"), ["d0", "d1"]).select("rank", F.col("rep").alias("first"))
