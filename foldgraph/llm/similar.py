@@ -295,7 +295,7 @@ def similar_groups(rows: DataFrame, row: str, text: str, rank: Column, width: in
     comp = _joined(pairs, None, sets, similarity, at_once)
     if any_busy:
         nothing = spark.createDataFrame([], "node bigint, root bigint")
-        odd, _ = written(_close(_odd_ones(crowded, nothing if comp is None else comp, most, similarity), reps, bits, tables, similarity), "odd-pairs")
+        odd, _ = written(_odd_ones(crowded, nothing if comp is None else comp, most, similarity), "odd-pairs")  # their distances are complete already
         comp = _joined(odd, comp, sets, similarity, at_once)
     if comp is None:
         return own.join(reps.select("d0", "d1", "rep"), ["d0", "d1"]).select("rank", F.col("rep").alias("first"))
