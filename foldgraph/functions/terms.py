@@ -54,6 +54,16 @@ def block_iri(members: Column, how: str) -> Column:
     raise ValueError(f"unknown kind of block name: {how}")
 
 
+def member_digest(member: Column, part: int) -> Column:
+    """BIGINT: the ``part``-th (0 to 3) 32 bits of a member's MD5; sums of them tell sets of members apart."""
+    return F.conv(F.substring(F.md5(F.encode(member.cast("string"), "UTF-8")), 8 * part + 1, 8), 16, 10).cast("bigint")
+
+
+def level_name(level: Column, width: int = 4) -> Column:
+    """A level's number with leading zeros, as in names of files."""
+    return F.lpad(level.cast("string"), width, "0")
+
+
 def singleton_id(node: Column) -> Column:
     """The id of a block of one node, and its own inverse."""
     return -node - 1

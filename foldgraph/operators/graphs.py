@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.terms import LITERAL_NODE, RDF_TYPE, TYPE_NODE
+
 
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("s").alias("node")).union(edges.select(F.col("o").alias("node"))).distinct()
@@ -51,6 +53,18 @@ def with_binary_features(edges: DataFrame, features: DataFrame, base: int, sink:
     return merged(edges, added)
 
 
+def metadata(entities: DataFrame, predicates: DataFrame) -> DataFrame:
+    """``(kind, iri, id, total)``: how many entities and predicates there are, and the ids of the special ones."""
+    special = {"entity": (entities, [LITERAL_NODE, TYPE_NODE]), "predicate": (predicates, [RDF_TYPE])}
+    out = None
+    for kind, (dictionary, names) in special.items():
+        row = dictionary.agg(F.count("*").alias("total"), *[F.max(F.when(F.col("iri") == x, F.col("id"))).alias(f"i{k}") for k, x in enumerate(names)])
+        part = row.select(F.lit(kind).alias("kind"), "total", F.explode(F.array(*[F.struct(F.lit(x).alias("iri"), F.col(f"i{k}").alias("id")) for k, x in enumerate(names)])).alias("x"))
+        part = part.select("kind", "x.iri", "x.id", "total")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def counts(edges: DataFrame) -> DataFrame:
     """One row: vertices and edges."""
     return edges.agg(F.count("*").alias("n_edges")).crossJoin(nodes(edges).agg(F.count("*").alias("n_vertices")))

@@ -27,18 +27,23 @@ def preprocessed(rows: DataFrame, skip_literals: bool = False, skip_rdf_lists: b
     return out
 
 
-def _numbered(values: DataFrame) -> DataFrame:
-    """``(id, iri)``: dense ids in order of the names, without one task seeing all names.
+def numbered_ranges(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with dense numbers ``id`` from 0 in order of ``by``, without one task seeing all rows.
 
-    Names are range-partitioned; each range is numbered by itself, after the sizes
-    of the ranges before it.
+    Rows are range-partitioned; each range is numbered by itself, after the sizes of
+    the ranges before it.
     """
-    parts = values.select("iri").distinct().repartitionByRange("iri").sortWithinPartitions("iri").select("iri", F.spark_partition_id().alias("part"))
-    parts = cut(parts, "names")  # the ranges must not change between the two uses
+    parts = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
+    parts = cut(parts, "ranges")  # the ranges must not change between the two uses
     sizes = parts.groupBy("part").count()
     before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # one row per range
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("iri"))
-    return parts.withColumn("n", rank).join(F.broadcast(before), "part").select((F.col("before") + F.col("n") - 1).alias("id"), "iri")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*by))
+    return parts.withColumn("n", rank).join(F.broadcast(before), "part").select((F.col("before") + F.col("n") - 1).alias("id"), *rows.columns)
+
+
+def _numbered(values: DataFrame) -> DataFrame:
+    """``(id, iri)``: dense ids in order of the distinct names."""
+    return numbered_ranges(values.select("iri").distinct(), ["iri"])
 
 
 def entity_dictionary(triples: DataFrame) -> DataFrame:

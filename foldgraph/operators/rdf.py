@@ -7,21 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import block_iri, percent_encoded
+from ..functions.terms import block_iri, member_digest, percent_encoded
 
 #: Prefix of all names that serialization makes; a parameter everywhere.
 NAMESPACE = "http://example.org/summary#"
 
 
-def block_names(members: DataFrame, how: str = "hash", entities: DataFrame | None = None) -> DataFrame:
-    """``(rep, start_level, iri)``; names by ids, by member IRIs, or by a hash of those.
+def block_names(members: DataFrame, how: str = "digest", entities: DataFrame | None = None) -> DataFrame:
+    """``(rep, start_level, iri)``; names by ids, by member IRIs, or by a hash or digest of those.
 
-    A name by ``id_set`` or ``iri_set`` lists all members, so it is as long as the
-    block is large; ``hash`` is the one for large graphs.
+    ``digest`` is the one for large graphs: sums of 128 bits of each member's MD5 and
+    their number, combined before the shuffle.  The others gather all members of a block
+    in one row: ``id_set`` and ``iri_set`` list them, ``hash`` hashes the sorted list, for
+    exchange with tools that name blocks so.
     """
     rows = members
     if how != "id_set":
         rows = members.join(entities.select(F.col("id").alias("node"), "iri"), "node") if entities is not None else members.withColumn("iri", F.col("node").cast("string"))
+    if how == "digest":
+        sums = rows.groupBy("rep", "start_level").agg(*[F.sum(member_digest(F.col("iri"), i)).alias(f"d{i}") for i in range(4)], F.count("*").alias("n"))
+        return sums.select("rep", "start_level", F.concat(F.lit("digest_block-"), F.concat_ws("-", "d0", "d1", "d2", "d3", "n")).alias("iri"))
     value = F.col("node") if how == "id_set" else F.col("iri")
     named = rows.groupBy("rep", "start_level").agg(block_iri(F.collect_list(value), how).alias("iri"))
     return named if how == "hash" else named.withColumn("iri", percent_encoded(F.col("iri")))

@@ -59,6 +59,17 @@ def edges_per_level(e: DataFrame) -> DataFrame:
     return alike.select(F.explode(F.sequence("edge_start", "edge_end")).alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n_edges"))
 
 
+def summary_degrees(e: DataFrame) -> DataFrame:
+    """``(k, direction, degree, n_blocks)``: blocks by their number of data edges at level ``k``; blocks without one don't count."""
+    spread = e.select("s_rep", "s_start", "o_rep", "o_start", F.explode(F.sequence("edge_start", "edge_end")).alias("k"))
+    out = None
+    for direction, rep, start in (("out", "s_rep", "s_start"), ("in", "o_rep", "o_start")):
+        part = spread.groupBy("k", rep, start).agg(F.count("*").alias("degree")).groupBy("k", "degree").agg(F.count("*").alias("n_blocks"))
+        part = part.select("k", F.lit(direction).alias("direction"), "degree", "n_blocks")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def data_edge_counts(r: Refinement, e: DataFrame | None = None) -> DataFrame:
     """``(k, condensed, uncondensed)`` up to level K, and K + 1 at a fixed point.
 

@@ -114,6 +114,35 @@ def positive_ids(e: DataFrame) -> DataFrame:
     return e.join(s, "s").join(o, "o").select(F.col("sid").alias("s"), "p", F.col("oid").alias("o"))
 
 
+def block_ids(blocks_: DataFrame) -> DataFrame:
+    """``(rep, start_level, local_id, global_id)``: dense numbers of blocks, of all levels and among those born at one.
+
+    In order of level and block; ranges are numbered by themselves, so no task sees all blocks.
+    """
+    from .preprocess import numbered_ranges
+
+    ids = numbered_ranges(blocks_.select("rep", "start_level"), ["start_level", "rep"])
+    first = ids.groupBy("start_level").agg(F.min("id").alias("first"))  # one row a level
+    return ids.join(F.broadcast(first), "start_level").select("rep", "start_level", (F.col("id") - F.col("first")).alias("local_id"), F.col("id").alias("global_id"))
+
+
+def dirty_blocks(edges: DataFrame, partition: DataFrame, level: int) -> DataFrame:
+    """``(block)`` with a node that has an edge into a block born at ``level``: only these can split next."""
+    changed = partition.where(F.col("start") == level).select(F.col("node").alias("o"))
+    sources = edges.select("s", "o").join(changed, "o", "left_semi").select(F.col("s").alias("node"))
+    return partition.select("node", "block").join(sources, "node", "left_semi").select("block").distinct()
+
+
+def differences(a: Refinement, b: Refinement) -> DataFrame:
+    """``(side, rep, start_level, end_level, size)``: blocks that one of two summaries lacks; none if they are the same.
+
+    A block is its smallest node, lifetime and size; nested partitions of the same graph
+    that agree on these for all blocks are equal.
+    """
+    x, y = (blocks(r).select("rep", "start_level", "end_level", "size") for r in (a, b))
+    return x.exceptAll(y).select(F.lit("first").alias("side"), "*").union(y.exceptAll(x).select(F.lit("second").alias("side"), "*"))
+
+
 def broadcast_features(partition: DataFrame, features: DataFrame) -> DataFrame:
     """A value of each block given to each of its nodes: ``(node, value)``."""
     return partition.select("node", "block").join(features.select("block", "value"), "block").select("node", "value")

@@ -38,8 +38,11 @@ def _graph(e: str, t: str) -> str:
 _STAR = _graph(_STAR_E + ")", _STAR_T)
 
 
-def _levels(depth: int, min_support: int = 1) -> str:
-    out = """, p0 AS MATERIALIZED (SELECT node, min(node) OVER w AS b, count(*) OVER w AS c
+_P0_UNTYPED = ", p0 AS MATERIALIZED (SELECT node, min(node) OVER () AS b, count(*) OVER () AS c FROM n)"
+
+
+def _levels(depth: int, min_support: int = 1, typed: bool = True) -> str:
+    out = _P0_UNTYPED if not typed else """, p0 AS MATERIALIZED (SELECT node, min(node) OVER w AS b, count(*) OVER w AS c
         FROM (SELECT n.node, ts FROM n LEFT JOIN (SELECT node, list_sort(list(DISTINCT type)) AS ts FROM t GROUP BY node) x USING (node)) WINDOW w AS (PARTITION BY ts))"""
     for k in range(depth):
         out += f""", g{k} AS MATERIALIZED (SELECT s AS node, list_sort(list(DISTINCT {{'p': p, 'b': b}})) AS sig FROM e JOIN p{k} ON o = node GROUP BY s),
@@ -48,9 +51,8 @@ def _levels(depth: int, min_support: int = 1) -> str:
     return out
 
 
-_ALL = (
-    _STAR + _levels(DEPTH)
-    + ", every AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, node, b, c FROM p{k}" for k in range(DEPTH + 1)) + ")"
+_REST = (
+    ", every AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, node, b, c FROM p{k}" for k in range(DEPTH + 1)) + ")"
     + """, sizes AS (SELECT k, count(DISTINCT b) AS n FROM every GROUP BY k), fix AS MATERIALIZED (SELECT min(x.k) AS last FROM sizes x JOIN sizes y ON y.k = x.k + 1 AND y.n = x.n),
     lv AS MATERIALIZED (SELECT every.* FROM every, fix WHERE k <= last),
     blk AS MATERIALIZED (SELECT b AS rep, CAST(min(k) AS INTEGER) AS start_level, CAST(max(k) AS INTEGER) AS end_level, c AS size, c = 1 AS is_singleton FROM (SELECT DISTINCT k, b, c FROM lv) GROUP BY b, c),
@@ -62,14 +64,21 @@ _ALL = (
     de AS MATERIALIZED (SELECT s_rep, s_start, p, o_rep, o_start, CAST(min(k) AS INTEGER) AS edge_start, CAST(max(k) AS INTEGER) AS edge_end FROM copies GROUP BY ALL),
     quo AS MATERIALIZED (SELECT DISTINCT s.k, s.b AS s, e.p, o.b AS o FROM e JOIN lv s ON s.node = e.s JOIN lv o ON o.node = e.o AND o.k = s.k),
     mem AS MATERIALIZED (SELECT DISTINCT rep, start_level, node FROM blk JOIN lv ON b = rep AND k BETWEEN start_level AND end_level),
-    nm AS MATERIALIZED (SELECT rep, start_level, 'hash_block-' || base64(unhex(sha256(string_agg(CAST(node AS VARCHAR), ',' ORDER BY CAST(node AS VARCHAR))))) AS iri FROM mem GROUP BY ALL),
+    nm AS MATERIALIZED (SELECT rep, start_level, DIGEST AS iri FROM mem GROUP BY rep, start_level),
     ks AS (SELECT CAST(unnest(range(0, last + 1)) AS INTEGER) AS k FROM fix), ks1 AS (SELECT CAST(unnest(range(0, last + 2)) AS INTEGER) AS k FROM fix),
     stat AS (SELECT ks.k, (SELECT count(*) FROM blk WHERE ks.k BETWEEN start_level AND end_level) AS block_count, (SELECT count(*) FROM blk WHERE is_singleton AND ks.k BETWEEN start_level AND end_level) AS singleton_count,
         (SELECT count(*) FROM blk WHERE start_level <= ks.k) AS accumulated_block_count FROM ks),
     dec AS (SELECT ks1.k, (SELECT count(*) FROM de WHERE edge_start <= ks1.k) AS condensed, (SELECT count(*) FROM copies WHERE copies.k <= ks1.k) AS uncondensed FROM ks1)
     """
 )
+_DIGEST = "'digest_block-' || " + " || '-' || ".join([*(f"CAST(sum(CAST('0x' || substr(md5(CAST(node AS VARCHAR)), {8 * i + 1}, 8) AS BIGINT)) AS BIGINT)" for i in range(4)), "count(*)"])
+_REST = _REST.replace("DIGEST AS iri", f"{_DIGEST} AS iri")
+_ALL = _STAR + _levels(DEPTH) + _REST
+_UNTYPED = _STAR + _levels(DEPTH, typed=False) + _REST
+#: Levels up to 1 only, and no edges of the last level into itself.
+_LIMITED = _STAR + _levels(DEPTH) + _REST.replace("SELECT min(x.k) AS last FROM sizes x JOIN sizes y ON y.k = x.k + 1 AND y.n = x.n", "SELECT 1 AS last").replace("s.k = least(o.k + 1, last)", "s.k = o.k + 1")
 _P = "SELECT node, b AS block, c AS size FROM "
+_HASH = "'hash_block-' || base64(unhex(sha256(string_agg(CAST(node AS VARCHAR), ',' ORDER BY CAST(node AS VARCHAR)))))"
 
 
 def _line(s: str, p: str, o: str) -> str:
@@ -111,6 +120,9 @@ _FULL = " UNION ALL ".join([
     _metric("data_edges_condensed", "condensed", "dec"), _metric("data_edges_uncondensed", "uncondensed", "dec"), _metric("data_edges_quotient", "count(*)", "quo GROUP BY k"),
 ])
 
+_DEGREES = " UNION ALL ".join(f"""SELECT CAST(k AS INTEGER) AS k, '{name}' AS direction, degree, count(*) AS n_blocks FROM (SELECT k, count(*) AS degree FROM copies GROUP BY k, {x}_rep, {x}_start) GROUP BY k, degree""" for name, x in (("out", "s"), ("in", "o")))
+_SPECIAL = " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{iri}' AS iri, (SELECT max(id) FROM {t} WHERE iri = '{iri}') AS id, (SELECT count(*) FROM {t}) AS total" for kind, t, iri in (("entity", "ent", LITERAL_NODE), ("entity", "ent", TYPE_NODE), ("predicate", "pre", RDF_TYPE)))
+
 _CELLS = """
     , h AS (SELECT k / (SELECT greatest(max(k), 1) FROM lv) AS lk, c / (SELECT max(c) FROM lv) AS ls, count(DISTINCT b) AS w FROM lv GROUP BY k, c, lk, ls),
     cell AS (SELECT i, j, w, ls, (j + 1) / 16.0 - ls AS hi, j / 16.0 - ls AS lo FROM h, range(0, 16) a(i), range(0, 16) b(j) WHERE i / 15.0 > lk - 0.1 AND i / 15.0 < lk + 0.1)
@@ -177,7 +189,9 @@ ORACLE: dict[str, str] = {
     + "SELECT (SELECT count(*) FROM blk) AS n_blocks, (SELECT count(*) FROM blk WHERE start_level = 0) AS n_initial, (SELECT count(*) FROM ref) AS n_refines, (SELECT count(*) FROM blk WHERE start_level > 0) = (SELECT count(*) FROM ref) AS consistent",
     "block_members": _ALL + "SELECT rep, start_level, node FROM mem",
     "block_names_id_set": _ALL + "SELECT rep, start_level, 'id_block-' || string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS iri FROM mem GROUP BY rep, start_level",
-    "block_names_hash": _ALL + "SELECT rep, start_level, iri FROM nm",
+    "block_names_hash": _ALL + f"SELECT rep, start_level, {_HASH} AS iri FROM mem GROUP BY rep, start_level",
+    "block_names_digest": _ALL + "SELECT rep, start_level, iri FROM nm",
+    "block_names_iri_set": _ALL + "SELECT rep, start_level, 'iri_block-' || string_agg(CAST(node AS VARCHAR), ',' ORDER BY CAST(node AS VARCHAR)) AS iri FROM mem GROUP BY rep, start_level",
     "rdf_sizes": _ALL + _SIZES,
     "rdf_contains": _ALL + f"SELECT {_line('iri', _NS('contains'), "'<' || CAST(node AS VARCHAR) || '>'")} AS value FROM mem JOIN nm USING (rep, start_level)",
     "rdf_refines": _ALL + _REFINES,
@@ -186,4 +200,18 @@ ORACLE: dict[str, str] = {
     + f"SELECT {_line('iri', _NS('startLevel'), _QUOTED('start_level'))} AS value FROM blk JOIN nm USING (rep, start_level) UNION ALL SELECT {_line('iri', _NS('endLevel'), _QUOTED('end_level'))} FROM blk JOIN nm USING (rep, start_level)",
     "rdf_merged": _ALL + f"{_SIZES} UNION ALL {_REFINES}",
     "kde_grid": _ALL + _CELLS,
+    "kde_grid_vertices": _ALL + _CELLS.replace("count(DISTINCT b) AS w", "count(DISTINCT b) * c AS w"),
+    "kde_grid_uniform": _ALL + _CELLS.replace("0.5 + 7.5 * hi - 250.0 * hi * hi * hi", "(hi + 0.1) / 0.2").replace("0.5 + 7.5 * lo - 250.0 * lo * lo * lo", "(lo + 0.1) / 0.2"),
+    "fixpoint_untyped": _UNTYPED + _P + "lv, fix WHERE k = last",
+    "block_intervals_untyped": _UNTYPED + "SELECT rep, start_level, end_level, size, is_singleton FROM blk",
+    "data_edges_untyped": _UNTYPED + "SELECT s_rep, s_start, p, o_rep, o_start, edge_start, edge_end FROM de",
+    "data_edges_max_k": _LIMITED + "SELECT s_rep, s_start, p, o_rep, o_start, edge_start, edge_end FROM de",
+    "quotient_k2": _ALL + "SELECT s, p, o FROM quo WHERE k = 2",
+    "block_ids": _ALL + "SELECT rep, start_level, row_number() OVER (PARTITION BY start_level ORDER BY rep) - 1 AS local_id, row_number() OVER (ORDER BY start_level, rep) - 1 AS global_id FROM blk",
+    "summary_degrees": _ALL + _DEGREES,
+    "graph_metadata": _TRIPLES + _SPECIAL,
+    "summary_differences": _ALL
+    + """, own AS (SELECT rep, start_level, end_level, size FROM blk), few AS (SELECT b AS rep, CAST(min(k) AS INTEGER) AS start_level, CAST(max(k) AS INTEGER) AS end_level, c AS size FROM (SELECT DISTINCT k, b, c FROM lv WHERE k <= 1) GROUP BY b, c)
+        SELECT 'first' AS side, * FROM (SELECT * FROM own EXCEPT SELECT * FROM few) UNION ALL SELECT 'second', * FROM (SELECT * FROM few EXCEPT SELECT * FROM own)""",
+    "dirty_blocks_k1": _ALL + "SELECT DISTINCT x.b AS block FROM e JOIN lv x ON x.node = e.s AND x.k = 1 JOIN lv y ON y.node = e.o AND y.k = 1 JOIN blk ON rep = y.b AND start_level = 1",
 }

@@ -34,6 +34,18 @@ def _star(spark: SparkSession, sf_dir: str) -> Refinement:
     return _once(spark, sf_dir, "star", lambda: star_refinement(spark, sf_dir))
 
 
+def _untyped(spark: SparkSession, sf_dir: str) -> Refinement:
+    def make() -> Refinement:
+        x = g.star(spark, sf_dir)
+        return refinement(x.edges, universal_start(x.nodes))
+
+    return _once(spark, sf_dir, "untyped", make)
+
+
+def _limited(spark: SparkSession, sf_dir: str) -> Refinement:
+    return _once(spark, sf_dir, "limited", lambda: star_refinement(spark, sf_dir, max_k=1))
+
+
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "history", lambda: cut(summary.history(_star(spark, sf_dir)), "history"))
 
@@ -119,7 +131,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 
 def _rdf(part: str) -> Callable:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        r, names = _star(spark, d), _names(spark, d, "hash")
+        r, names = _star(spark, d), _names(spark, d, "digest")
         if part == "s":
             return rdf.sizes_lines(summary.blocks(r), names)
         if part == "c":
@@ -137,9 +149,26 @@ def rdf_merged(spark: SparkSession, d: str) -> DataFrame:
     return rdf.merged_lines({x: _rdf(x)(spark, d) for x in "sr"}, "sr")
 
 
-def kde_grid(spark: SparkSession, d: str) -> DataFrame:
-    out = stats.kde_grid(stats.block_size_histogram(_star(spark, d)))
-    return out.select("i", "j", F.round("density", 6).alias("density")).where("density > 0")
+def _kde(**options) -> Callable:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        out = stats.kde_grid(stats.block_size_histogram(_star(spark, d)), **options)
+        return out.select("i", "j", F.round("density", 6).alias("density")).where("density > 0")
+
+    return query
+
+
+def graph_metadata(spark: SparkSession, d: str) -> DataFrame:
+    t = _plain(spark, d)
+    return graphs.metadata(preprocess.entity_dictionary(t), preprocess.predicate_dictionary(t))
+
+
+def summary_differences(spark: SparkSession, d: str) -> DataFrame:
+    return summary.differences(_star(spark, d), _limited(spark, d))
+
+
+def dirty_blocks_k1(spark: SparkSession, d: str) -> DataFrame:
+    r = _limited(spark, d)
+    return summary.dirty_blocks(r.edges, r.final, 1)
 
 
 def graph_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +176,7 @@ def graph_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def members_of_refines(spark: SparkSession, d: str) -> DataFrame:
-    """Refines edges with the sizes and first members of both ends, for inspection."""
+    """Refines edges with the sizes of both ends, for inspection."""
     r = _star(spark, d)
     b = summary.blocks(r)
     child = b.select(F.col("rep").alias("child_rep"), F.col("start_level").alias("child_start"), F.col("size").alias("child_size"))
@@ -226,5 +255,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rdf_data": _rdf("d"),
     "rdf_intervals": _rdf("i"),
     "rdf_merged": rdf_merged,
-    "kde_grid": kde_grid,
+    "kde_grid": _kde(),
+    "kde_grid_uniform": _kde(kernel="uniform"),
+    "kde_grid_vertices": _kde(weight="vertex_based"),
+    "fixpoint_untyped": lambda s, d: _untyped(s, d).final.select("node", "block", F.col("size").cast("bigint").alias("size")),
+    "block_intervals_untyped": lambda s, d: summary.blocks(_untyped(s, d)),
+    "data_edges_untyped": lambda s, d: summary.data_edges(_untyped(s, d)),
+    "data_edges_max_k": lambda s, d: summary.data_edges(_limited(s, d)),
+    "quotient_k2": lambda s, d: summary.quotient(_star(s, d), 2, _history(s, d)),
+    "block_names_iri_set": lambda s, d: _names(s, d, "iri_set"),
+    "block_names_digest": lambda s, d: _names(s, d, "digest"),
+    "block_ids": _R(lambda r: summary.block_ids(summary.blocks(r))),
+    "summary_degrees": lambda s, d: stats.summary_degrees(_data(s, d)),
+    "graph_metadata": graph_metadata,
+    "summary_differences": summary_differences,
+    "dirty_blocks_k1": dirty_blocks_k1,
 }

@@ -27,7 +27,7 @@ class Settings:
     min_support: int = 1
     max_k: int | None = None
     exact: bool = False
-    names: str = "hash"
+    names: str = "digest"
     namespace: str = rdf.NAMESPACE
 
 

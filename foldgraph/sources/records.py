@@ -40,3 +40,13 @@ def packed(rows: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
 def read_edges(spark: SparkSession, path: str, reverse: bool = False) -> DataFrame:
     e = read_records(spark, path, [("s", "entity"), ("p", "predicate"), ("o", "entity")])
     return e.select(F.col("o").alias("s"), "p", F.col("s").alias("o")) if reverse else e
+
+
+def checked_edges(spark: SparkSession, path: str) -> int:
+    """The number of triples in files of edge records; a file that is no whole number of records is an error."""
+    width = sum(WIDTHS[k] for k in ("entity", "predicate", "entity"))
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # the contents are not read
+    bad = files.where(F.col("length") % width != 0).select("path").limit(5).collect()
+    if bad:
+        raise ValueError(f"no whole number of {width}-byte records: {[r.path for r in bad]}")
+    return files.agg(F.sum(F.expr(f"length div {width}"))).first()[0] or 0

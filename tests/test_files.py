@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from foldgraph.functions.terms import LITERAL_NODE, RDF, RDF_TYPE, TYPE_NODE, percent_encoded
+from foldgraph.functions.terms import LITERAL_NODE, RDF, RDF_TYPE, TYPE_NODE, level_name, percent_encoded
 from foldgraph.operators import preprocess
 from foldgraph.plans.oracle import ORACLE
 from foldgraph.plans.queries import QUERIES
@@ -73,6 +73,20 @@ def test_records(spark, tmp_path):
     assert sorted(map(tuple, records.read_records(spark, str(tmp_path / "b.bin"), [("b", "block_or_singleton"), ("k", "level")]).collect())) == [(-5, 7), (12, 0)]
 
 
+def test_checked_records(spark, tmp_path):
+    (tmp_path / "e.bin").write_bytes(bytes(42))
+    assert records.checked_edges(spark, str(tmp_path / "e.bin")) == 3
+    (tmp_path / "f.bin").write_bytes(bytes(43))
+    with pytest.raises(ValueError, match="f.bin"):
+        records.checked_edges(spark, str(tmp_path))
+    assert spark.range(1).select(level_name(F.lit(7)).alias("x")).first().x == "0007"
+
+
+def test_names_are_combined_before_the_shuffle(spark):
+    plan = QUERIES["rdf_sizes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_percent(spark):
     from urllib.parse import quote
 
