@@ -7,12 +7,14 @@ its number of nodes.  ``(block, start)`` names a set of nodes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import cut
+from ..sources.store import cut, remove, scratch, written
 
 
 def universal_start(nodes: DataFrame) -> DataFrame:
@@ -56,14 +58,17 @@ def exact_signatures(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return sets.select("node", F.sha2(F.to_json("x"), 256).alias("h1"), F.lit(0).alias("h2"), F.size("x").cast("bigint").alias("n"))
 
 
-def refined(edges: DataFrame, partition: DataFrame, level: int, min_support: int = 1, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def refined(edges: DataFrame, partition: DataFrame, level: int, min_support: int = 1, exact: bool = False, dirty: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One round: ``(partition at level, new blocks)``.
 
-    Blocks of at most ``min_support`` nodes are never split.  New blocks come with
+    Blocks of at most ``min_support`` nodes are never split, nor are those not in ``dirty``
+    ``(block)``, where that is given: no edge of theirs leads to a block that changed.  New blocks come with
     the block that they refine: ``(block, start, size, parent, parent_start)``.
     """
     stays = F.col("size") <= min_support
     whole, rest = partition.where(stays), partition.where(~stays)
+    if dirty is not None:
+        whole, rest = whole.union(rest.join(dirty, "block", "left_anti").select(*partition.columns)), rest.join(dirty, "block", "left_semi").select(*partition.columns)
     # Only edges of nodes whose block can still split make signatures.
     live = edges.join(rest.select(F.col("node").alias("s")), "s", "left_semi")
     sig = (exact_signatures if exact else signatures)(live, partition)
@@ -85,39 +90,59 @@ class Refinement:
 
     ``final``: the partition at level ``k``.  ``born``: ``(block, start, size, parent,
     parent_start)`` of every block that ever was.  ``fixed``: is ``k`` the fixed point?
+    Where a limit ended the run, that takes one more round, made when it is asked for.
     """
 
     edges: DataFrame
     final: DataFrame
     born: DataFrame
     k: int
-    fixed: bool
     sizes: list[int]  # blocks at each level
+    more: Callable[[], bool] | None = None  # would another round split anything?
+
+    @cached_property
+    def fixed(self) -> bool:
+        return self.more is None or not self.more()
+
+
+def dirty_blocks(edges: DataFrame, partition: DataFrame, level: int) -> DataFrame:
+    """``(block)`` with a node that has an edge into a block born at ``level``: only these can split next."""
+    changed = partition.where(F.col("start") == level).select(F.col("node").alias("o"))
+    sources = edges.select("s", "o").join(changed, "o", "left_semi").select(F.col("s").alias("node"))
+    return partition.select("node", "block").join(sources, "node", "left_semi").select("block").distinct()
 
 
 def refinement(edges: DataFrame, start: DataFrame, max_k: int | None = None, min_support: int = 1, exact: bool = False) -> Refinement:
     """Refine until a round splits nothing, or up to level ``max_k``.
 
     Each level is written to the shared folder and read from there, so the plan of
-    a round doesn't hold the rounds before.  The driver gets two numbers a round.
+    a round doesn't hold the rounds before; what a level is made from is removed when the
+    level after it is there.  Once fewer than half of the nodes changed their block, a
+    round only looks at blocks with an edge into one that changed.  The driver gets a few
+    numbers a round.
     """
-    edges, p = cut(edges, "edges"), cut(start, "level-0")
+    spark = edges.sparkSession
+    edges = cut(edges, "edges")
+    p, path = written(start, "level-0")
     first = p.groupBy("block", "start", "size").count().drop("count")
-    born = [first.select("block", "start", "size", F.lit(None).cast(dict(p.dtypes)["block"]).alias("parent"), F.lit(None).cast("int").alias("parent_start"))]
-    sizes, k = [first.count()], 0
+    born = [cut(first.select("block", "start", "size", F.lit(None).cast(dict(p.dtypes)["block"]).alias("parent"), F.lit(None).cast("int").alias("parent_start")), "born-0")]
+    n_blocks, n_nodes = born[0].agg(F.count("*"), F.sum("size")).first()
+    sizes, k, dirty = [n_blocks], 0, None
     while max_k is None or k < max_k:
-        p_next, new = refined(edges, p, k + 1, min_support, exact)
-        new = cut(new, f"born-{k + 1}")
-        n, parents = new.agg(F.count("*"), F.count_distinct("parent", "parent_start")).first()
+        with scratch(spark):
+            p_next, new = refined(edges, p, k + 1, min_support, exact, dirty)
+            new = written(new, f"born-{k + 1}", lasting=True)[0]
+            n, parents, changed = new.agg(F.count("*"), F.count_distinct("parent", "parent_start"), F.sum("size")).first()
+            if n:
+                old, k = path, k + 1
+                p, path = written(p_next, f"level-{k}", lasting=True)
         if not n:
-            break
-        k, p = k + 1, cut(p_next, f"level-{k + 1}")
+            return Refinement(edges, p, _together(born), k, sizes)
+        remove(spark, old)
         born.append(new)
         sizes.append(sizes[-1] + n - parents)
-    else:
-        _, new = refined(edges, p, k + 1, min_support, exact)
-        return Refinement(edges, p, _together(born), k, not new.head(1), sizes)
-    return Refinement(edges, p, _together(born), k, True, sizes)
+        dirty = dirty_blocks(edges, p, k) if 2 * changed < n_nodes else None
+    return Refinement(edges, p, _together(born), k, sizes, lambda: bool(refined(edges, p, k + 1, min_support, exact, dirty)[1].head(1)))
 
 
 def _together(parts: list[DataFrame]) -> DataFrame:

@@ -126,13 +126,6 @@ def block_ids(blocks_: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(first), "start_level").select("rep", "start_level", (F.col("id") - F.col("first")).alias("local_id"), F.col("id").alias("global_id"))
 
 
-def dirty_blocks(edges: DataFrame, partition: DataFrame, level: int) -> DataFrame:
-    """``(block)`` with a node that has an edge into a block born at ``level``: only these can split next."""
-    changed = partition.where(F.col("start") == level).select(F.col("node").alias("o"))
-    sources = edges.select("s", "o").join(changed, "o", "left_semi").select(F.col("s").alias("node"))
-    return partition.select("node", "block").join(sources, "node", "left_semi").select("block").distinct()
-
-
 def differences(a: Refinement, b: Refinement) -> DataFrame:
     """``(side, rep, start_level, end_level, size)``: blocks that one of two summaries lacks; none if they are the same.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import singleton_id
 from ..operators import graphs, preprocess, rdf, stats, summary
-from ..operators.bisimulation import Refinement, refinement, typed_start, universal_start
+from ..operators.bisimulation import Refinement, dirty_blocks, refinement, typed_start, universal_start
 from ..sources.ntriples import parsed, terms
 from ..sources.store import cut
 from . import driver_graphs as g
@@ -168,7 +168,7 @@ def summary_differences(spark: SparkSession, d: str) -> DataFrame:
 
 def dirty_blocks_k1(spark: SparkSession, d: str) -> DataFrame:
     r = _limited(spark, d)
-    return summary.dirty_blocks(r.edges, r.final, 1)
+    return dirty_blocks(r.edges, r.final, 1)
 
 
 def graph_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -133,6 +133,18 @@ def test_random_graph(spark, seed, typed, support):
     assert {(x.k, x.n_edges) for x in stats.quotient_edge_counts(got).collect()} == {(k, len({(levels[k][s], p, levels[k][o]) for s, p, o in triples})) for k in range(last + 1)}
 
 
+def test_deep_chain(spark):
+    """Past the first levels only blocks with an edge into a changed block are looked at; levels are those of the definition."""
+    triples = path(*[f"c{i:02d}" for i in range(14)]) + [(f"d{i}", "1", "c13") for i in range(6)] + [(f"x{i}", "2", f"x{i + 1}") for i in range(4)]
+    every = sorted({x for s, _, o in triples for x in (s, o)})
+    levels = by_definition(triples, every, False)
+    got = run(spark, triples)
+    assert got.k == len(levels) - 1 and got.sizes == [len(set(x.values())) for x in levels]
+    assert {x.node: x.block for x in got.final.collect()} == {x: min(levels[-1][x]) for x in every}
+    third = run(spark, triples, max_k=3)
+    assert {x.node: x.block for x in third.final.collect()} == {x: min(levels[3][x]) for x in every} and not third.fixed
+
+
 def test_level_limit(spark):
     r = run(spark, GRAPHS["simple_chain"], max_k=3)
     assert (r.k, r.fixed, r.sizes) == (3, False, [1, 2, 3, 4])
