@@ -1,6 +1,7 @@
-"""Triples that keep arriving: the file scan as a stream, set semantics kept by a digest.
+"""Triples that keep arriving: the file scan as a stream.
 
-The batch operators start from the table that this writes; a summary is always of
+Lines that are no triples are left out, and repeated triples are appended as they come;
+the batch operators take sets of triples.  The batch operators start from the table that this writes; a summary is always of
 the triples that have arrived when it is computed.
 """
 
