@@ -9,8 +9,14 @@ segment and under the Hamming ball of radius 1 below it (one set bit cleared).
 segments that differ in one bit, or in two bits of opposite sense, meet; the number
 of tables is such that a pair at exactly the least similarity is missed in all of
 them with a chance of ``MISS``, and closer pairs far more rarely.  What meets is
-verified on 128 bits in the join, then on the whole fingerprint, and at last on the
-shingle sets themselves.
+verified on 128 bits in the join, then on the whole fingerprint and on parities, and
+at last on the shingle sets themselves.
+
+Parities: shingle hashes are dealt to ``64 * PARITIES`` places, and a bit tells if a
+place got an odd number.  Each place in
+which two texts differ holds a shingle of only one of them, so the differing bits are
+never more than the shingles that are not common.  This bound loses no link, and as
+common shingles cancel out it is close unless very many differ.
 
 The width of a segment grows with the number of texts, so that a bucket holds about
 as many at every size; rows per text grow with it, as the 0.24th power of their number.
@@ -44,6 +50,9 @@ SKETCH, DEVIATIONS = 128, 3.5
 #: 64-bit words of the fingerprint that the entries of crowded buckets carry for verification.
 LONGS = 16
 _W = [f"w{i}" for i in range(LONGS)]
+#: 64-bit words of parities.
+PARITIES = 16
+_P = [f"p{i}" for i in range(PARITIES)]
 #: Members of a bucket (about) beyond which it gives stars; one text in ``SAMPLE`` is counted to tell.
 CROWD, SAMPLE = 24, 4
 #: Stars of each crowded bucket.
@@ -90,26 +99,37 @@ def wide_simhash(h: np.ndarray, n_bits: int) -> np.ndarray:
     return (2 * ones > h.size)[:n_bits]
 
 
-_WIDE = "struct<d0:bigint,d1:bigint,n:int,sketch:array<bigint>,segments:array<bigint>>"
+def parities(h: np.ndarray) -> np.ndarray:
+    """``64 * PARITIES`` bits: does an odd number of the distinct hashes fall to a place?"""
+    n = 64 * PARITIES
+    return np.bincount((_mixed(h) % np.uint64(n)).astype(np.int64), minlength=n) & 1
+
+
+def _longs(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+_WIDE = "struct<d0:bigint,d1:bigint,n:int,sketch:array<bigint>,segments:array<bigint>,p:array<bigint>>"
 
 
 def wide_fingerprints(text: Column, width: int, tables: int, bits: int) -> Column:
-    """Digest and size of the shingle set, 128 bits to verify, and the segments."""
+    """Digest and size of the shingle set, 128 bits to verify, the segments, and the parities."""
 
     @F.arrow_udf(_WIDE)
     def f(t: pa.Array) -> pa.Array:
-        d, n, sketch, segments = [], [], [], []
+        d, n, sketch, segments, odd = [], [], [], [], []
         place = 1 << np.arange(bits, dtype=np.int64)
         for x in t.to_pylist():
             h = np.unique(shingle_hashes(x, width))
             own = wide_simhash(h, SKETCH + tables * bits)
             n.append(h.size)
             d.append(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8"))
-            sketch.append(np.packbits(own[:SKETCH], bitorder="little").view("<i8").tolist())
+            sketch.append(_longs(own[:SKETCH]))
+            odd.append(_longs(parities(h)))
             segments.append((own[SKETCH:].reshape(tables, bits) @ place).tolist())
         d = np.array(d, np.int64).reshape(-1, 2)
         longs = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(n, pa.int32()), pa.array(sketch, longs), pa.array(segments, longs)], ["d0", "d1", "n", "sketch", "segments"])
+        return pa.StructArray.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(n, pa.int32()), pa.array(sketch, longs), pa.array(segments, longs), pa.array(odd, longs)], ["d0", "d1", "n", "sketch", "segments", "p"])
 
     return f(text)
 
@@ -120,7 +140,7 @@ def shingle_sets(text: Column, width: int) -> Column:
     @F.arrow_udf("struct<h:array<bigint>,w:array<bigint>>")
     def f(t: pa.Array) -> pa.Array:
         sets = [np.unique(shingle_hashes(x, width)) for x in t.to_pylist()]
-        wide = [np.packbits(wide_simhash(h, SKETCH + 64 * LONGS)[SKETCH:], bitorder="little").view("<i8") for h in sets]
+        wide = [_longs(wide_simhash(h, SKETCH + 64 * LONGS)[SKETCH:]) for h in sets]
         longs = pa.list_(pa.int64())
         return pa.StructArray.from_arrays([pa.array([h.view(np.int64) for h in sets], longs), pa.array(wide, longs)], ["h", "w"])
 
@@ -144,15 +164,25 @@ def _may_be_similar(a: str, b: str, similarity: float) -> Column:
     return one(a, b) & one(b, a)
 
 
+def _apart(a: str, b: str, words: list[str]) -> Column:
+    return reduce(add, [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words])
+
+
+def _not_common(a: str, b: str, similarity: float) -> Column:
+    """Most shingles that only one of two similar texts may have, by the sizes of their sets."""
+    return F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}.n") + F.col(f"{b}.n")) + 1e-6
+
+
 def _near_in_all(a: str, b: str, similarity: float) -> Column:
-    apart = reduce(add, [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _W])
-    return apart <= limit(64 * LONGS, flip(similarity))
+    """Are all bits that crowded entries carry those of a pair that may be similar enough?"""
+    return _may_be_similar(a, b, similarity) & (_apart(a, b, _P) <= _not_common(a, b, similarity)) & (_apart(a, b, _W) <= limit(64 * LONGS, flip(similarity)))
 
 
 def _with_own_shingles(crowded: DataFrame, sets: DataFrame) -> DataFrame:
-    """Entries with more of the fingerprint, the size ``n`` of each set and the number ``q`` of its shingles that no other text of the entries has."""
+    """Entries with more of the fingerprint, the parities, the size ``n`` of each set and the number ``q`` of its shingles that no other text of the entries has."""
     alone = sets.select("id", F.explode("h").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("q"))
-    own = sets.select("id", F.size("h").alias("n"), *[F.col("w")[i].alias(name) for i, name in enumerate(_W)]).join(alone, "id", "left").fillna(0, ["q"])
+    words = [F.col(c)[i].alias(name) for c, names in (("w", _W), ("p", _P)) for i, name in enumerate(names)]
+    own = sets.select("id", F.size("h").alias("n"), *words).join(alone, "id", "left").fillna(0, ["q"])
     return crowded.join(own, "id")
 
 
@@ -162,10 +192,10 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 def _stars(crowded: DataFrame, most: int, similarity: float) -> DataFrame:
     """Each entry of a crowded bucket with the bucket's first text, in several orders of all texts."""
-    out, crowded = None, crowded.drop(*_W)
+    out, own = None, [c for c in crowded.columns if c != "bucket"]
     for k in range(STARS):
-        first = crowded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("order"), "id", "s0", "s1", "n", "q")).alias("f")).select("bucket", "f.id", "f.s0", "f.s1", "f.n", "f.q")
-        met = crowded.alias("x").join(first.hint("merge").alias("y"), "bucket").where((F.col("x.id") != F.col("y.id")) & _near("x", "y", most) & _may_be_similar("x", "y", similarity))
+        first = crowded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("order"), *own)).alias("f")).select("bucket", *[f"f.{c}" for c in own])
+        met = crowded.alias("x").join(first.hint("merge").alias("y"), "bucket").where((F.col("x.id") != F.col("y.id")) & _near("x", "y", most) & _near_in_all("x", "y", similarity))
         met = met.select(*_pair(F.col("x.id"), F.col("y.id")))
         out = met if out is None else out.union(met)
     return out.distinct()
@@ -178,7 +208,7 @@ def _odd_ones(crowded: DataFrame, comp: DataFrame, most: int, similarity: float)
     sizes = own.groupBy("bucket", "c").count()
     main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "c")).alias("m")).select("bucket", F.col("m.c").alias("main"))
     odd = own.join(main, "bucket").where("c <> main").drop("main")
-    met = own.hint("merge").alias("x").join(odd.hint("merge").alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y", most) & _may_be_similar("x", "y", similarity) & _near_in_all("x", "y", similarity))
+    met = own.hint("merge").alias("x").join(odd.hint("merge").alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y", most) & _near_in_all("x", "y", similarity))
     return met.select(*_pair(F.col("x.id"), F.col("y.id"))).distinct()
 
 
@@ -189,13 +219,13 @@ def _labelled(df: DataFrame, comp: DataFrame, on: str, out: str) -> DataFrame:
 
 
 def _close(pairs: DataFrame, reps: DataFrame, bits: int, tables: int, similarity: float) -> DataFrame:
-    """The pairs whose whole fingerprints are close enough, and whose sets are not too different in size to be similar."""
-    fp = reps.select("id", "n", "s0", "s1", "segments")
+    """The pairs whose whole fingerprints and parities are close enough, and whose sets are not too different in size to be similar."""
+    fp = reps.select("id", "n", "s0", "s1", "segments", "p")
     both = pairs.join(fp.alias("x"), F.col("a") == F.col("x.id")).join(fp.alias("y"), F.col("b") == F.col("y.id"))
-    apart = F.aggregate(F.zip_with("x.segments", "y.segments", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, d: n + d)
-    whole = apart + F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
+    apart = lambda c: F.aggregate(F.zip_with(f"x.{c}", f"y.{c}", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, d: n + d)
+    whole = apart("segments") + F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
     alike = F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n") - 1e-9
-    return both.where(alike & (whole <= limit(SKETCH + tables * bits, flip(similarity)))).select("a", "b")
+    return both.where(alike & (apart("p") <= _not_common("x", "y", similarity)) & (whole <= limit(SKETCH + tables * bits, flip(similarity)))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -246,7 +276,7 @@ def _joined(pairs: DataFrame, comp: DataFrame | None, sets: DataFrame, similarit
 
 
 def _sets(rows: DataFrame, row: str, text: str, width: int, ids: DataFrame, reps: DataFrame) -> DataFrame:
-    """``(id, h)``: the shingle sets of the texts ``ids``."""
+    """``(id, h, w)``: the shingle sets of the texts ``ids``."""
     members, _ = written(ids.join(reps, "id").select("id", F.col(f"rep.{row}").alias("row")), "members")
     found = rows.select(F.col(row).alias("row"), F.col(text).alias("text")).join(few(members), "row")
     return written(found.select("id", shingle_sets(F.col("text"), width).alias("x")).select("id", "x.h", "x.w"), "shingle-sets")[0]
@@ -266,7 +296,7 @@ def similar_groups(rows: DataFrame, row: str, text: str, rank: Column, width: in
     tables = n_tables(bits, p)
     own, _ = written(rows.select(rank.alias("rank"), wide_fingerprints(F.col(text), width, tables, bits).alias("f")).select("rank", "f.*"), "wide-fingerprints")
     any_of = lambda c: F.any_value(c)
-    reps = own.groupBy("d0", "d1").agg(F.min("rank").alias("rep"), any_of(F.col("sketch")[0]).alias("s0"), any_of(F.col("sketch")[1]).alias("s1"), any_of(F.col("segments")).alias("segments"), any_of(F.col("n")).alias("n"))
+    reps = own.groupBy("d0", "d1").agg(F.min("rank").alias("rep"), any_of(F.col("sketch")[0]).alias("s0"), any_of(F.col("sketch")[1]).alias("s1"), any_of(F.col("segments")).alias("segments"), any_of(F.col("p")).alias("p"), any_of(F.col("n")).alias("n"))
     reps, _ = written(reps.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
     entries, most = _entries(reps, bits), limit(SKETCH, p)
     counted = _entries(reps.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), bits).groupBy("bucket").count()
@@ -278,10 +308,12 @@ def similar_groups(rows: DataFrame, row: str, text: str, rank: Column, width: in
     if any_busy:
         crowded, _ = written(entries.join(busy, "bucket", "left_semi"), "crowded-entries")
         their_sets = _sets(rows, row, text, width, crowded.select("id").distinct(), reps)
-        crowded, _ = written(_with_own_shingles(crowded, their_sets).where(F.col("n") - F.col("q") >= F.lit(similarity) * F.col("n") - 1e-9), "crowded-sizes")
-        pairs = pairs.union(_stars(crowded, most, similarity)).distinct()
+        crowded, _ = written(_with_own_shingles(crowded, their_sets.join(reps.select("id", "p"), "id")).where(F.col("n") - F.col("q") >= F.lit(similarity) * F.col("n") - 1e-9), "crowded-sizes")
+        stars, _ = written(_stars(crowded, most, similarity), "stars")
     pairs, _ = written(pairs, "met")
     pairs, _ = written(_close(pairs, reps, bits, tables, similarity), "close")
+    if any_busy:  # their distances are complete already
+        pairs = pairs.union(stars).distinct()
     members = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     if any_busy:
         members = members.union(crowded.select("id"))
@@ -295,7 +327,7 @@ def similar_groups(rows: DataFrame, row: str, text: str, rank: Column, width: in
     comp = _joined(pairs, None, sets, similarity, at_once)
     if any_busy:
         nothing = spark.createDataFrame([], "node bigint, root bigint")
-        odd, _ = written(_odd_ones(crowded, nothing if comp is None else comp, most, similarity), "odd-pairs")  # their distances are complete already
+        odd, _ = written(_odd_ones(crowded, nothing if comp is None else comp, most, similarity), "odd-pairs")
         comp = _joined(odd, comp, sets, similarity, at_once)
     if comp is None:
         return own.join(reps.select("d0", "d1", "rep"), ["d0", "d1"]).select("rank", F.col("rep").alias("first"))

@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from brute import pattern_spans
-from foldgraph.llm import bpe, chat, common, exact_dedup, quality, token_store
+from foldgraph.llm import bpe, chat, common, exact_dedup, quality, similar, token_store
 from foldgraph.llm.crf import Crf, _forward_backward, words_of
 from foldgraph.llm.html_tree import visible_text
 from foldgraph.llm.pii_spans import MODEL_KINDS, SemiCrf, _cuts, all_spans, base_spans, practice_lines, regions, segment_features
@@ -403,3 +403,16 @@ def test_site_posteriors_by_definition(spark):
         path = (k2 * host + sum(paths[h, q]) - p[i]) / (k2 + len(paths[h, q]) - 1)
         score = 1 / (1 + np.exp(-(got[i].q_evidence + logit(path) - logit(base))))
         assert np.allclose([got[i].q_host_rate, got[i].q_path_rate, got[i].q_score], [host, path, score], atol=1e-9)
+
+
+@pytest.mark.parametrize("size", [0, 1, 60, 700, 5000])
+def test_parities_are_a_lower_bound(size):
+    """Differing parities are never more than what is not common, and close to it as long as that is little."""
+    r = np.random.default_rng(size)
+    for extra in (0, 1, 30, 400, 3000):
+        common, own = (np.unique(r.integers(0, 1 << 64, n, np.uint64, endpoint=False)) for n in (size, extra))
+        cut = r.integers(0, own.size + 1)
+        a, b = (np.union1d(common, x) for x in (own[:cut], own[cut:]))
+        apart = int((similar.parities(a) ^ similar.parities(b)).sum())
+        assert apart <= np.setxor1d(a, b).size
+        assert apart >= 0.8 * own.size or own.size > 100
