@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to a Python worker.  Texts are long, so the
@@ -90,9 +90,33 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Files of a table up to which their paths are broadcast; rows of a table in more files are copied to be numbered.
+BROADCAST_FILES = 100_000
+
+
+def _stored(df: DataFrame) -> bool:
+    """Is ``df`` nothing but the Parquet files below one path?  Then its reader tells each row's place."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "_metadata" in (c.lower() for c in df.columns):
+        return False
+    files = plan.relation()
+    if files.getClass().getSimpleName() != "HadoopFsRelation" or files.location().rootPaths().size() != 1:
+        return False
+    return files.fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
 def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` with a distinct BIGINT for each row, written, so that every read gives the same numbers; and that column's name."""
-    row = unused(df, "__row_number")[0]
+    """``df`` with a distinct BIGINT for each row, the same at every read; and that column's name.
+
+    Rows of a Parquet table are numbered by file and place in it, and not copied; all others are written.
+    """
+    row, path, file, place = unused(df, "__row_number", "__file_path", "__file_number", "__file_row")
+    if _stored(df):
+        paths = df.select(F.col("_metadata.file_path").alias(path)).distinct()
+        files, _ = written(paths.withColumn(file, F.row_number().over(Window.orderBy(path)).cast("bigint")), f"{name}-files", lasting=True)
+        if files.count() <= BROADCAST_FILES:
+            own = df.withColumn(path, F.col("_metadata.file_path")).withColumn(place, F.col("_metadata.row_index"))
+            return own.join(F.broadcast(files), path).withColumn(row, F.shiftleft(file, 40).bitwiseOR(F.col(place))).drop(path, file, place), row
     return written(df.withColumn(row, F.monotonically_increasing_id()), name)[0], row
 
 

@@ -416,3 +416,21 @@ def test_parities_are_a_lower_bound(size):
         apart = int((similar.parities(a) ^ similar.parities(b)).sum())
         assert apart <= np.setxor1d(a, b).size
         assert apart >= 0.8 * own.size or own.size > 100
+
+
+def test_stored_rows_are_numbered_without_a_copy(spark, tmp_path):
+    """Files in several folders, more rows than a row group's share of a task, names that clash, none at all."""
+    own = spark.range(3000).selectExpr("id", "id % 3 AS part", "id AS __file_path", "id AS __row_number")
+    own.repartition(4).write.partitionBy("part").parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    rows, row = common.numbered(stored, "n")
+    assert common._stored(stored) and not common._stored(stored.where("id > 1")) and not common._stored(own)
+    first, again = ({r.id: r[row] for r in x.select("id", row).collect()} for x in (rows, rows.where("id % 2 = 0")))
+    assert len(set(first.values())) == 3000 and again == {k: v for k, v in first.items() if k % 2 == 0}
+    assert {tuple(r) for r in rows.drop(row).collect()} == {tuple(r) for r in stored.collect()}
+    twice, row = common.numbered(spark.read.parquet(f"{tmp_path}/t/part=0", f"{tmp_path}/t/part=0"), "n")
+    assert twice.select(row).distinct().count() == twice.count() == 2000
+    other, row = common.numbered(own.withColumnRenamed("part", "_metadata"), "n")
+    assert other.select(row).distinct().count() == 3000
+    own.where("id < 0").write.parquet(f"{tmp_path}/e")
+    assert common.numbered(spark.read.parquet(f"{tmp_path}/e"), "n")[0].count() == 0
