@@ -53,8 +53,9 @@ _W = [f"w{i}" for i in range(LONGS)]
 #: 64-bit words of parities.
 PARITIES = 16
 _P = [f"p{i}" for i in range(PARITIES)]
-#: Members of a bucket (about) beyond which it gives stars; one text in ``SAMPLE`` is counted to tell.
-CROWD, SAMPLE = 24, 4
+#: Members of a bucket (about) beyond which it gives stars, or as many times the mean as ``ABOVE`` says, as buckets
+#: fill up until their width grows; one text in ``SAMPLE`` is counted to tell.
+CROWD, ABOVE, SAMPLE = 24, 8, 4
 #: Stars of each crowded bucket.
 STARS = 3
 #: Shingle hashes of all texts with a candidate up to which their sets are broadcast; share of all
@@ -300,7 +301,8 @@ def similar_groups(rows: DataFrame, row: str, text: str, rank: Column, width: in
     reps, _ = written(reps.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
     entries, most = _entries(reps, bits), limit(SKETCH, p)
     counted = _entries(reps.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), bits).groupBy("bucket").count()
-    busy, _ = written(counted.where(F.col("count") * SAMPLE >= CROWD).select("bucket"), "crowded")
+    mean = reps.count() * (bits / 2 + 1) / 2**bits
+    busy, _ = written(counted.where(F.col("count") * SAMPLE >= max(CROWD, ABOVE * mean)).select("bucket"), "crowded")
     any_busy = bool(busy.head(1))
     plain = entries.join(busy, "bucket", "left_anti") if any_busy else entries
     met = plain.hint("merge").alias("x").join(plain.hint("merge").alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & _near("x", "y", most))
