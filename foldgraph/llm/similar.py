@@ -58,8 +58,8 @@ _P = [f"p{i}" for i in range(PARITIES)]
 CROWD, ABOVE, SAMPLE = 24, 8, 4
 #: Stars of each crowded bucket.
 STARS = 3
-#: Shingle hashes of all texts with a candidate up to which their sets are broadcast; share of all
-#: texts' shingles that one round of verification may move otherwise.
+#: Shingle hashes of all texts that a round verifies up to which their sets are broadcast; share of all
+#: texts' shingles that one round may move if those of all candidates are more.
 BROADCAST_HASHES, MOVED = 2_000_000, 0.15
 _BLOCK = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -236,6 +236,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(common >= F.lit(similarity) * union - 1e-9).select("a", "b", "ca", "cb")
 
 
+def _sets_of(tried: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of the texts of these pairs, marked for broadcast if they are small."""
+    ids, _ = written(tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct(), "tried")
+    own = sets.join(few(ids), "id", "left_semi")
+    hashes = own.agg(F.sum(F.size("h"))).first()[0] or 0
+    return F.broadcast(own) if hashes <= BROADCAST_HASHES else own
+
+
 def _joined(pairs: DataFrame, comp: DataFrame | None, sets: DataFrame, similarity: float, at_once: float) -> DataFrame | None:
     """Components ``(node, root)`` of those in ``comp`` and the links among ``pairs`` (written).
 
@@ -260,7 +268,7 @@ def _joined(pairs: DataFrame, comp: DataFrame | None, sets: DataFrame, similarit
             pairs = left.join(chosen, ["a", "b"], "left_anti").select("a", "b")
         else:
             tried, pairs = left, None
-        links, _ = written(_verified(tried, sets, similarity), "links")
+        links, _ = written(_verified(tried, _sets_of(tried, sets), similarity), "links")
         if links.head(1):
             moved = connected_components(links, "ca", "cb")
             if comp is None:
@@ -322,9 +330,7 @@ def similar_groups(rows: DataFrame, row: str, text: str, rank: Column, width: in
     sets = _sets(rows, row, text, width, members.distinct(), reps)
     size = sets.agg(F.count("*").alias("n"), F.sum(F.size("h")).alias("hashes")).first()
     at_once = math.inf
-    if (size.hashes or 0) <= BROADCAST_HASHES:
-        sets = F.broadcast(sets)
-    else:  # so many that the sets that move are no more than MOVED of all texts
+    if (size.hashes or 0) > BROADCAST_HASHES:  # so many that the sets that move are no more than MOVED of all texts
         at_once = MOVED * reps.agg(F.sum("n")).first()[0] * size.n / (2 * size.hashes)
     comp = _joined(pairs, None, sets, similarity, at_once)
     if any_busy:
